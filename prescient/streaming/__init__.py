@@ -1,0 +1,8 @@
+"""Streaming.
+
+The study is batch only: it has no stream source, watermark, window or
+state, so there is no streaming operator to rebuild. A fitted
+``PipelineModel`` from ``prescient.operators.learners`` applies unchanged to
+a streaming DataFrame (``model.transform(spark.readStream...)``), which is
+all that real-time scoring of snapshots needs.
+"""
