@@ -135,7 +135,7 @@ def semi_join_sample(spark, sf_dir):
 @query("duration_stats", with_(SNAPSHOTS, DURATION) + """
 SELECT max(duration) AS max_duration,
        round(avg(duration), 6) AS mean_duration_snapshots,
-       round(avg(duration) / 900.0, 6) AS mean_minutes_snapshots,
+       round(avg(duration) / CAST(900 AS DOUBLE), 6) AS mean_minutes_snapshots,
        (SELECT round(avg(d), 6) FROM (SELECT max(frame) AS d FROM snapshots GROUP BY replay_id))
          AS mean_duration_matches
 FROM snaps_d""")

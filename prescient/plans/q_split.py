@@ -23,7 +23,7 @@ def hash_split_70_30(spark, sf_dir):
 @query("repeated_splits", with_(SNAPSHOTS) + f"""
 SELECT CAST(t.test_set AS INTEGER) AS test_set,
        CASE WHEN {h("t.test_set", "s.row_key")} % 1000 < 700 THEN 'train' ELSE 'test' END AS part,
-       count(*) AS n, sum(frame) AS frame_sum
+       count(*) AS n, CAST(sum(frame) AS BIGINT) AS frame_sum
 FROM snapshots s CROSS JOIN (SELECT range AS test_set FROM range(1, 6)) t
 GROUP BY ALL""")
 def repeated_splits(spark, sf_dir):
