@@ -16,28 +16,31 @@ id in ``group_cols``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def fit_params(train: DataFrame, feature_cols: list[str], label: str = "winner",
-               group_cols: list[str] | None = None, smoothing: float = 1.0) -> DataFrame:
-    """-> (group..., label, label_idx, n_c, pi, theta array<double>)."""
+def class_sums(train: DataFrame, feature_cols: list[str], label: str = "winner",
+               group_cols: list[str] | None = None) -> DataFrame:
+    """The sufficient statistics: one partial aggregate per (group, label)."""
     g = list(group_cols or [])
-    d = len(feature_cols)
-    sums = train.groupBy(*g, label).agg(
+    return train.groupBy(*g, label).agg(
         F.count(F.lit(1)).alias("n_c"),
-        *[F.sum(F.col(c).cast("double")).alias(f"_s{i}") for i, c in enumerate(feature_cols)])
-    total = F.lit(0.0)
-    for i in range(d):
-        total = total + F.col(f"_s{i}")
+        F.array(*[F.sum(F.col(c).cast("double")) for c in feature_cols]).alias("sums"))
+
+
+def params_from_sums(sums: DataFrame, d: int, label: str = "winner",
+                     group_cols: list[str] | None = None, smoothing=1.0) -> DataFrame:
+    """Parameters from ``class_sums``; ``smoothing`` is a number or a column
+    (a grid of smoothing values then needs no second pass over the data)."""
+    g = list(group_cols or [])
+    lam = smoothing if isinstance(smoothing, Column) else F.lit(float(smoothing))
+    total = F.aggregate("sums", F.lit(0.0), lambda a, v: a + v)
     wg = Window.partitionBy(*g) if g else Window.partitionBy(F.lit(1))
-    lam = F.lit(float(smoothing))
     return (sums
             .withColumn("_tot", total)
-            .withColumn("theta", F.array(*[
-                F.log(F.col(f"_s{i}") + lam) - F.log(F.col("_tot") + lam * d)
-                for i in range(d)]))
+            .withColumn("theta", F.transform(
+                "sums", lambda v: F.log(v + lam) - F.log(F.col("_tot") + lam * d)))
             .withColumn("pi", F.log(F.col("n_c") + lam)
                         - F.log(F.sum("n_c").over(wg) + lam * F.count(F.lit(1)).over(wg)))
             # frequencyDesc order, ties alphabetical (as StringIndexer)
@@ -46,6 +49,25 @@ def fit_params(train: DataFrame, feature_cols: list[str], label: str = "winner",
             .select(*g, label, "label_idx", "n_c", "pi", "theta"))
 
 
+def fit_params(train: DataFrame, feature_cols: list[str], label: str = "winner",
+               group_cols: list[str] | None = None, smoothing: float = 1.0) -> DataFrame:
+    """-> (group..., label, label_idx, n_c, pi, theta array<double>)."""
+    sums = class_sums(train, feature_cols, label, group_cols)
+    return params_from_sums(sums, len(feature_cols), label, group_cols, smoothing)
+
+
+def importance(params: DataFrame, feature_cols: list[str], label: str = "winner",
+               group_cols: list[str] | None = None) -> DataFrame:
+    """Per feature: spread of its log-probability across classes, normalised
+    to sum 1 (how strongly the feature separates the classes)."""
+    g = list(group_cols or [])
+    long = params_long(params, feature_cols, label, g)
+    spread = long.groupBy(*g, "position", "feature").agg(
+        (F.max("log_prob") - F.min("log_prob")).alias("_sp"))
+    wg = Window.partitionBy(*g) if g else Window.partitionBy(F.lit(1))
+    return spread.withColumn("importance", F.col("_sp") / F.sum("_sp").over(wg)).drop("_sp")
+
+
 def predict(df: DataFrame, params: DataFrame, feature_cols: list[str],
             label: str = "winner", group_cols: list[str] | None = None,
             out_col: str = "prediction") -> DataFrame:
@@ -72,9 +94,9 @@ def params_long(params: DataFrame, feature_cols: list[str], label: str = "winner
     """One row per (group, label, feature): log and plain conditional probability."""
     g = list(group_cols or [])
     names = F.array(*[F.lit(c) for c in feature_cols])
-    return (params.select(*g, label, "pi", F.posexplode(F.arrays_zip(names.alias("feature"),
+    return (params.select(*g, label, "n_c", "pi", F.posexplode(F.arrays_zip(names.alias("feature"),
                                                                       F.col("theta"))))
-            .select(*g, label, F.col("pos").alias("position"),
+            .select(*g, label, "n_c", F.col("pos").alias("position"),
                     F.col("col.feature").alias("feature"),
                     F.col("col.theta").alias("log_prob"), "pi")
             .withColumn("prob", F.exp("log_prob")))
