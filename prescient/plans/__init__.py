@@ -3,6 +3,7 @@
 
 def load_all():
     """Import every query module so the registry is complete."""
-    from prescient.plans import q_analytics, q_knn, q_model, q_prep, q_split, q_sweep  # noqa: F401
+    from prescient.plans import (q_analytics, q_knn, q_learn, q_model, q_prep,  # noqa: F401
+                                 q_split, q_sweep)
     from prescient.plans.registry import ORACLE, QUERIES
     return QUERIES, ORACLE
