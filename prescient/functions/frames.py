@@ -27,9 +27,13 @@ def first_cutoff_above(frame, cutoffs: list[int]) -> Column:
     """Smallest cutoff strictly greater than ``frame`` (null if none).
 
     Strict ``<`` is the reference's boundary: a row at frame f counts for
-    every cutoff c with f < c. Evaluated JVM-side on a literal array, so the
-    sweep needs one pass over the scored rows, not one per cutoff.
+    every cutoff c with f < c. A CASE chain over the sorted literal cutoffs
+    stays inside whole-stage codegen, so the sweep needs one pass over the
+    scored rows, not one per cutoff.
     """
     fc = frame if isinstance(frame, Column) else F.col(frame)
-    arr = F.array(*[F.lit(int(c)) for c in sorted(cutoffs)])
-    return F.array_min(F.filter(arr, lambda c: c > fc))
+    cs = sorted(int(c) for c in cutoffs)
+    expr = F.when(fc < F.lit(cs[0]), F.lit(cs[0]))
+    for c in cs[1:]:
+        expr = expr.when(fc < F.lit(c), F.lit(c))
+    return expr

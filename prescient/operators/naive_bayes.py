@@ -70,8 +70,12 @@ def importance(params: DataFrame, feature_cols: list[str], label: str = "winner"
 
 def predict(df: DataFrame, params: DataFrame, feature_cols: list[str],
             label: str = "winner", group_cols: list[str] | None = None,
-            out_col: str = "prediction") -> DataFrame:
-    """Add the argmax-posterior label; ties go to the lower label index."""
+            out_col: str = "prediction", majority_col: str | None = None) -> DataFrame:
+    """Add the argmax-posterior label; ties go to the lower label index.
+
+    ``majority_col`` also adds the group's most frequent training label
+    (label index 0), which comes with the fitted parameters for free.
+    """
     g = list(group_cols or [])
     packed = params.groupBy(*g).agg(F.collect_list(
         F.struct("label_idx", F.col(label).alias("lbl"), "pi", "theta")).alias("_cls"))
@@ -86,7 +90,10 @@ def predict(df: DataFrame, params: DataFrame, feature_cols: list[str],
     # one model per group: equi-join; a single model: scalar subquery
     joined = df.join(packed, g) if g else df.withColumn("_cls", packed.select("_cls").scalar())
     best = F.array_max(F.transform("_cls", score))
-    return joined.withColumn(out_col, best["lbl"]).drop("_cls")
+    out = joined.withColumn(out_col, best["lbl"])
+    if majority_col:
+        out = out.withColumn(majority_col, F.array_min(F.col("_cls"))["lbl"])
+    return out.drop("_cls")
 
 
 def params_long(params: DataFrame, feature_cols: list[str], label: str = "winner",

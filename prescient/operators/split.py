@@ -24,9 +24,15 @@ from prescient.functions.hashing import BUCKETS, TRAIN_BUCKETS, md5_bucket
 
 def hash_split(df: DataFrame, salt, key: str = "row_key",
                train_buckets: int = TRAIN_BUCKETS, buckets: int = BUCKETS,
-               part_col: str = "part") -> DataFrame:
-    """Tag each row 'train' or 'test' (train share = train_buckets/buckets)."""
+               part_col: str = "part", bucket_col: str | None = None) -> DataFrame:
+    """Tag each row 'train' or 'test' (train share = train_buckets/buckets).
+
+    ``bucket_col`` keeps the bucket (md5 value mod ``buckets``) for reuse.
+    """
     b = md5_bucket(salt, key) % buckets
+    if bucket_col:
+        df = df.withColumn(bucket_col, b)
+        b = F.col(bucket_col)
     return df.withColumn(part_col, F.when(b < train_buckets, F.lit("train"))
                          .otherwise(F.lit("test")))
 
@@ -36,7 +42,7 @@ def repeated_splits(df: DataFrame, n_splits: int = 5, key: str = "row_key",
                     split_col: str = "test_set") -> DataFrame:
     """Every row once per split 1..n with its part; salt = split id."""
     out = df.withColumn(split_col, F.explode(F.sequence(F.lit(1), F.lit(n_splits))))
-    return hash_split(out, F.col(split_col), key, train_buckets)
+    return hash_split(out, F.col(split_col), key, train_buckets, bucket_col="bucket")
 
 
 def by_match(df: DataFrame, salt, match_col: str = "replay_id",

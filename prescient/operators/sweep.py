@@ -3,14 +3,13 @@
 The study re-filtered and re-scored the test rows once per cutoff (20 passes
 per split and model, one process per cutoff). Here rows are scored once; the
 sweep is one pass that tags each row with the smallest cutoff above its
-frame, a partial aggregate per (group, cutoff), and a running sum over a
-complete group x cutoff scaffold. Everything after the first aggregate runs
-on groups x cutoffs rows.
+frame and a partial aggregate per (group, cutoff bucket). Everything after
+that aggregate runs on groups x cutoffs rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prescient.functions.frames import first_cutoff_above
@@ -42,29 +41,22 @@ def accuracy_curve(preds: DataFrame, cutoffs: list[int], group_cols: list[str],
     """Accuracy over rows with frame < cutoff, for every cutoff and group.
 
     Equal to the range join ``preds JOIN cutoffs ON frame < cutoff`` grouped
-    by (group, cutoff); cutoffs below every frame of a group give no row,
-    as in that join.
+    by (group, cutoff). One pass over ``preds``: each row is counted once, in
+    the bucket of the smallest cutoff above its frame. Each bucket total
+    then adds to its own and every later cutoff — an expansion of the
+    aggregated table (groups x cutoffs rows, at most cutoffs-fold), not of
+    the data. Cutoffs below every frame of a group give no row, as in the join.
     """
     tagged = preds.withColumn("_cut", first_cutoff_above(frame, cutoffs))
     per_bucket = (tagged.where(F.col("_cut").isNotNull())
                   .groupBy(*group_cols, "_cut")
                   .agg(F.count(F.lit(1)).alias("_n"),
                        F.sum(correct_flag(label, prediction)).cast("bigint").alias("_c")))
-    # complete scaffold: every group gets every cutoff, so a cutoff that adds
-    # no new rows still carries the running totals forward
     cut_arr = F.array(*[F.lit(int(c)) for c in sorted(cutoffs)])
-    scaffold = (per_bucket.select(*group_cols).distinct()
-                .withColumn("cutoff", F.explode(cut_arr)))
-    w = (Window.partitionBy(*group_cols).orderBy("cutoff")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    joined = scaffold.join(per_bucket.withColumnRenamed("_cut", "cutoff"),
-                           [*group_cols, "cutoff"], "left")
-    return (joined
-            .withColumn("n", F.sum(F.coalesce("_n", F.lit(0))).over(w).cast("bigint"))
-            .withColumn("correct", F.sum(F.coalesce("_c", F.lit(0))).over(w).cast("bigint"))
-            .where(F.col("n") > 0)
-            .withColumn("accuracy", F.col("correct") / F.col("n"))
-            .drop("_n", "_c"))
+    spread = per_bucket.withColumn("cutoff", F.explode(F.filter(cut_arr, lambda c: c >= F.col("_cut"))))
+    return (spread.groupBy(*group_cols, "cutoff")
+            .agg(F.sum("_n").cast("bigint").alias("n"), F.sum("_c").cast("bigint").alias("correct"))
+            .withColumn("accuracy", F.col("correct") / F.col("n")))
 
 
 def range_join_curve(preds: DataFrame, cutoffs_df: DataFrame, group_cols: list[str],

@@ -14,10 +14,9 @@ real fits by the library. All of it is one pass over the exploded splits.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prescient.functions.hashing import md5_bucket
 from prescient.operators import naive_bayes as nb
 from prescient.operators.split import repeated_splits
 from prescient.sources.snapshots import NUMERIC_FEATURES, snapshots_from_lineitem
@@ -36,22 +35,15 @@ def split_rows(spark: SparkSession, sf_dir: str, n_splits: int = N_SPLITS) -> Da
     return repeated_splits(snapshots(spark, sf_dir), n_splits)
 
 
-def majority(train: DataFrame, label: str = "winner", group_cols=("test_set",)) -> DataFrame:
-    g = list(group_cols)
-    counts = train.groupBy(*g, label).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*g).orderBy(F.desc("_n"), F.col(label))
-    return (counts.withColumn("_r", F.row_number().over(w)).where("_r = 1")
-            .select(*g, F.col(label).alias("maj")))
-
-
 def predictions(spark: SparkSession, sf_dir: str, n_splits: int = N_SPLITS) -> DataFrame:
     rows = split_rows(spark, sf_dir, n_splits)
     train = rows.where(F.col("part") == "train")
     test = rows.where(F.col("part") == "test")
+    # one aggregation feeds both fitted rules: the NB parameters carry the
+    # class counts, and label index 0 is the majority label
     params = nb.fit_params(train, NUMERIC_FEATURES, group_cols=["test_set"])
     scored = nb.predict(test, params, NUMERIC_FEATURES, group_cols=["test_set"],
-                        out_col="nb_pred")
-    scored = scored.join(majority(train), "test_set")
+                        out_col="nb_pred", majority_col="maj")
 
     def rule(cond):
         return F.when(cond, F.lit("O")).otherwise(F.lit("F"))
@@ -65,6 +57,8 @@ def predictions(spark: SparkSession, sf_dir: str, n_splits: int = N_SPLITS) -> D
         opt("QTY", rule(F.col("quantity") > 25)),
         opt("TAX", rule(F.col("tax") > 0.04)),
         opt("PRICE", rule(F.col("price") > 45000)),
-        opt("HASH", rule(md5_bucket(F.col("test_set"), "row_key") % 2 == 1)),
+        # the split bucket is the md5 value mod 1000; 2 divides 1000, so its
+        # parity is the parity of the md5 value itself
+        opt("HASH", rule(F.col("bucket") % 2 == 1)),
     )
     return scored.select("row_key", "test_set", "frame", "winner", F.inline(options))
