@@ -27,8 +27,10 @@ N_SPLITS = 5
 CLASSIFIERS = ["MAJ", "NB", "QTY", "TAX", "PRICE", "HASH"]
 
 
-def snapshots(spark: SparkSession, sf_dir: str, with_duration: bool = False) -> DataFrame:
-    return snapshots_from_lineitem(read_table(spark, sf_dir, "lineitem"), with_duration)
+def snapshots(spark: SparkSession, sf_dir: str, with_duration: bool = False,
+              frame_below: int | None = None) -> DataFrame:
+    return snapshots_from_lineitem(read_table(spark, sf_dir, "lineitem"), with_duration,
+                                   frame_below)
 
 
 def split_rows(spark: SparkSession, sf_dir: str, n_splits: int = N_SPLITS) -> DataFrame:

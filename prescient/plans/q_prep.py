@@ -48,7 +48,8 @@ def multi_part_scan(spark, sf_dir):
 @query("cutoff_filter", with_(SNAPSHOTS) + """
 SELECT row_key, replay_id, frame, winner FROM snapshots WHERE frame < 1000""")
 def cutoff_filter(spark, sf_dir):
-    snaps = inputs.snapshots(spark, sf_dir)
+    """Rows with frame < 1000 (the bound also reaches the parquet scan)."""
+    snaps = inputs.snapshots(spark, sf_dir, frame_below=1000)
     return prep.before_cutoff(snaps, 1000).select("row_key", "replay_id", "frame", "winner")
 
 

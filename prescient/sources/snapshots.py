@@ -61,16 +61,27 @@ def read_snapshot_csv(spark: SparkSession, path: str,
             .option("mode", "FAILFAST").schema(schema).csv(path))
 
 
-def snapshots_from_lineitem(lineitem: DataFrame, with_duration: bool = False) -> DataFrame:
+def snapshots_from_lineitem(lineitem: DataFrame, with_duration: bool = False,
+                            frame_below: int | None = None) -> DataFrame:
     """lineitem -> snapshot view.
 
     ``duration`` (max frame of the match) costs a shuffle by match id, so it
     is only added when asked. It is a partial aggregate joined back, not a
     window: a window would sort one hot match inside a single task, while the
     aggregate combines map-side and AQE splits a skewed join partition.
+
+    ``frame_below`` keeps rows with frame < bound and states the bound on the
+    raw column (``l_shipdate < epoch + bound days``), which the parquet scan
+    can push down and use to skip row groups; ``frame`` itself is derived and
+    cannot be pushed. Duration needs every row of a match, so with
+    ``with_duration`` the bound is applied after it.
     """
     frame = F.datediff(F.to_date("l_shipdate"), F.lit(EPOCH)).cast("int")
-    li = lineitem.select(*LINEITEM_COLUMNS).withColumn("frame", frame)
+    li = lineitem.select(*LINEITEM_COLUMNS)
+    if frame_below is not None and not with_duration:
+        bound = F.to_timestamp_ntz(F.date_add(F.lit(EPOCH).cast("date"), int(frame_below)))
+        li = li.where(F.col("l_shipdate") < bound)
+    li = li.withColumn("frame", frame)
     row_key = F.concat_ws(
         "_", *[F.col(c).cast("string") for c in
                ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "frame")],
@@ -91,6 +102,8 @@ def snapshots_from_lineitem(lineitem: DataFrame, with_duration: bool = False) ->
     )
     if with_duration:
         snaps = add_duration(snaps)
+        if frame_below is not None:
+            snaps = snaps.where(F.col("frame") < frame_below)
     return snaps
 
 
