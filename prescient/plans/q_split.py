@@ -152,3 +152,36 @@ def rformula(spark, sf_dir):
     snaps = inputs.snapshots(spark, sf_dir)
     f = fe.rformula("winner ~ . - row_key - replay_id - races").fit(snaps)
     return fe.vector_slots(f.transform(snaps), "features", ["row_key", "label"])
+
+
+@query("match_level_split", with_(SNAPSHOTS) + f"""
+SELECT row_key, replay_id,
+       CASE WHEN {h("1", "replay_id")} % 1000 < 700 THEN 'train' ELSE 'test' END AS part
+FROM snapshots""")
+def match_level_split(spark, sf_dir):
+    """70/30 split at match level: every snapshot of a match on one side
+    (the study split rows, which lets a match's own snapshots leak across)."""
+    snaps = inputs.snapshots(spark, sf_dir).select("row_key", "replay_id")
+    return split.by_match(snaps, 1)
+
+
+@query("materialized_splits", with_(SNAPSHOTS) + f"""
+SELECT CAST(t.test_set AS INTEGER) AS test_set,
+       CASE WHEN {h("t.test_set", "s.row_key")} % 1000 < 700 THEN 'train' ELSE 'test' END AS part,
+       count(*) AS n
+FROM snapshots s CROSS JOIN (SELECT range AS test_set FROM range(1, 6)) t
+GROUP BY ALL""")
+def materialized_splits(spark, sf_dir):
+    """The five splits written once, partitioned by (test_set, part), and
+    re-read by every later call (reuse-or-create on the _SUCCESS marker)."""
+    import hashlib
+
+    from prescient.session import scratch_path
+    from prescient.sources.sinks import materialize_once
+    # the key names the input and the split definition, so a change to either
+    # never reuses an old table
+    spec = f"{sf_dir}|md5-70-30|{inputs.N_SPLITS}|v1"
+    path = scratch_path(spark, "splits-" + hashlib.md5(spec.encode()).hexdigest()[:12])
+    rows = materialize_once(spark, path, lambda: inputs.split_rows(spark, sf_dir).drop("bucket"),
+                            partition_by=["test_set", "part"])
+    return rows.groupBy("test_set", "part").agg(F.count(F.lit(1)).alias("n"))
