@@ -29,8 +29,6 @@ def measures(spark, sf_dir):
 
 @query("early_accuracy_curve", with_(SNAPSHOTS, MEASURES) + """
 SELECT classifier, test_set, cutoff, n, correct, round(accuracy, 6) AS accuracy FROM curve""")
-
-
 def early_accuracy_curve(spark, sf_dir):
     """Scan -> adapter -> 5 hash splits -> NB fit -> score once -> sweep 20 cutoffs."""
     return curve(spark, sf_dir).withColumn("accuracy", r6("accuracy"))
