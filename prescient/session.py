@@ -67,3 +67,39 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path inside the shared checkpoint folder for written tables."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, "tables", name)
+
+
+_READY: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``prescient`` importable in every Python worker.
+
+    Pandas UDFs and ``mapInPandas`` functions defined in this package are
+    pickled by reference, so workers import it. The package is zipped on the
+    driver and shipped with ``addPyFile`` (Spark serves it to executors);
+    once per application.
+    """
+    import zipfile
+
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _READY:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    fd, zpath = tempfile.mkstemp(prefix="prescient-", suffix=".zip")
+    os.close(fd)
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(zpath)
+    _READY.add(app)
+
+
+def ready(spark: SparkSession) -> None:
+    """Checkpoint folder registered and package shipped (idempotent)."""
+    ensure_checkpoint_dir(spark)
+    ship_package(spark)
