@@ -27,6 +27,23 @@ SCALE_CONF = {
 }
 
 
+# Settings for a large cluster (hundreds of TB, ~1000 executors), applied by
+# whoever launches the job; not used by the tests. Shuffle partitions start
+# high and AQE coalesces them to ~256 MB each; file splits stay at 256 MB so
+# a scan task's rows fit in executor memory; skewed join partitions larger
+# than 5x the median (and 1 GB) are split.
+CLUSTER_CONF = {
+    **SCALE_CONF,
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1g",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
+}
+
+
 def get_session(master: str = "local[8]", shuffle_partitions: int = 8,
                 app: str = "prescient", extra: dict | None = None) -> SparkSession:
     builder = SparkSession.builder.master(master).appName(app)

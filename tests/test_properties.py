@@ -178,3 +178,17 @@ def test_study_schema_csv_roundtrip(spark, tmp_path):
     back = read_snapshot_csv(spark, path)
     assert back.schema == SNAPSHOT_SCHEMA
     assert sorted(back.collect()) == sorted(df.collect())
+
+
+def test_stratified_folds_skewed_label(spark):
+    """One label holds 90% of rows: folds still balanced within 1 per label."""
+    df = spark.range(5000).select(F.col("id").cast("string").alias("row_key"),
+                                  F.when(F.col("id") % 10 == 0, "b").otherwise("a").alias("winner"))
+    f = split.stratified_folds(df, "winner", 7, "s")
+    sizes = {}
+    for r in f.groupBy("winner", "fold").count().collect():
+        sizes.setdefault(r["winner"], []).append(r["count"])
+    assert sorted(sizes) == ["a", "b"]
+    for v in sizes.values():
+        assert len(v) == 7 and max(v) - min(v) <= 1
+    assert f.select("row_key").distinct().count() == 5000
