@@ -9,7 +9,8 @@ of five repeated splits with six classifiers (FIXTURES.md section 3):
 * PRICE price > 45000 -> 'O'      * HASH  md5 bucket of the row is odd -> 'O'
 
 The four rules stand in for classifiers that SQL can state; MAJ and NB are
-real fits by the library. All of it is one pass over the exploded splits.
+real fits by the library. One pass over the exploded splits fits both, a
+second pass scores the test rows with all six.
 """
 
 from __future__ import annotations

@@ -174,7 +174,7 @@ SELECT classifier, params FROM (VALUES {_PARAMS_VALUES}) AS t(classifier, params
 WHERE classifier IN (SELECT DISTINCT classifier FROM predictions)""")
 def literal_table(spark, sf_dir):
     """A literal table with a declared schema, kept to the classifiers that
-    scored rows (semi join against the data; literal side broadcast)."""
+    scored rows (semi join against the data)."""
     present = inputs.predictions(spark, sf_dir).select("classifier")
     return _params_table(spark).join(present, "classifier", "left_semi")
 

@@ -192,3 +192,18 @@ def test_stratified_folds_skewed_label(spark):
     for v in sizes.values():
         assert len(v) == 7 and max(v) - min(v) <= 1
     assert f.select("row_key").distinct().count() == 5000
+
+
+def test_knn_query_in_cell_without_train_rows(spark):
+    """Queries far from every train row, with more cells than train clusters:
+    still exact (a query with no own-cell candidates searches everywhere)."""
+    train = [(i, [float(i % 5), float(i % 3)], i % 2) for i in range(60)]
+    test = [(1000 + i, [50.0 + i, -40.0], 0) for i in range(10)] + \
+           [(2000 + i, [float(i % 4), 1.0], 0) for i in range(10)]
+    schema = "vec_id long, embedding array<double>, label int"
+    tdf, qdf = spark.createDataFrame(train, schema), spark.createDataFrame(test, schema)
+    nn = knn.nearest(qdf, tdf, 3, n_cells=12, block_rows=8)
+    got = {}
+    for r in nn.orderBy("q_id", "rank").collect():
+        got.setdefault(r["q_id"], []).append(r["t_id"])
+    assert got == _brute(train, test, 3)
