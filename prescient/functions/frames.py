@@ -6,11 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed values of the study: the game runs at 15 frames per second, so a
-# minute is 900 frames. The reference sweeps 19 cutoffs 4500..85500 by 4500
+# minute is 900 frames. The study sweeps 19 cutoffs 4500..85500 by 4500
 # and then the longest match (238556 frames).
 FRAMES_PER_SECOND = 15
 FRAMES_PER_MINUTE = 15 * 60
-REFERENCE_CUTOFFS = list(range(4500, 85501, 4500)) + [238556]
+STUDY_CUTOFFS = list(range(4500, 85501, 4500)) + [238556]
 
 # Cutoffs of the lineitem adapter (frame = days since 1995-01-01, 1..2499):
 # 125..2375 by 125, then 3650, which is past every frame ("everything").
@@ -26,7 +26,7 @@ def frames_to_minutes(frames) -> Column:
 def first_cutoff_above(frame, cutoffs: list[int]) -> Column:
     """Smallest cutoff strictly greater than ``frame`` (null if none).
 
-    Strict ``<`` is the reference's boundary: a row at frame f counts for
+    Strict ``<`` is the study's boundary: a row at frame f counts for
     every cutoff c with f < c. A CASE chain over the sorted literal cutoffs
     stays inside whole-stage codegen, so the sweep needs one pass over the
     scored rows, not one per cutoff.
