@@ -180,8 +180,12 @@ def materialized_splits(spark, sf_dir):
     from prescient.sources.sinks import materialize_once
     # the key names the input and the split definition, so a change to either
     # never reuses an old table
-    spec = f"{sf_dir}|md5-70-30|{inputs.N_SPLITS}|v1"
+    spec = f"{sf_dir}|md5-70-30|{inputs.N_SPLITS}|v2"
     path = scratch_path(spark, "splits-" + hashlib.md5(spec.encode()).hexdigest()[:12])
-    rows = materialize_once(spark, path, lambda: inputs.split_rows(spark, sf_dir).drop("bucket"),
-                            partition_by=["test_set", "part"])
+    # sorted by frame inside each file: parquet min/max statistics then let a
+    # later cutoff filter (frame < c) skip row groups
+    rows = materialize_once(
+        spark, path,
+        lambda: inputs.split_rows(spark, sf_dir).drop("bucket").sortWithinPartitions("frame"),
+        partition_by=["test_set", "part"])
     return rows.groupBy("test_set", "part").agg(F.count(F.lit(1)).alias("n"))
