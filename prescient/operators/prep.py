@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -21,9 +21,31 @@ def composite_key(df: DataFrame, cols: list[str], out_col: str = "match_key",
     return df.withColumn(out_col, F.concat_ws(sep, *[F.col(c).cast("string") for c in cols]))
 
 
-def match_metadata(snaps: DataFrame, cols=("replay_id", "duration", "races")) -> DataFrame:
-    """One row per distinct (match, duration, pairing)."""
-    return snaps.select(*cols).distinct()
+def match_metadata(snaps: DataFrame, match: str = "replay_id", frame: str = "frame",
+                   category: str = "races") -> DataFrame:
+    """One row per distinct (match, duration, pairing); duration = max frame.
+
+    A partial aggregate per (match, pairing) leaves a handful of rows per
+    match, and a window over the match's rows adds its duration: one scan,
+    no join back to the snapshots, and a hot match shrinks to its number of
+    pairings before the second shuffle.
+    """
+    per = snaps.groupBy(match, category).agg(F.max(frame).alias("_m"))
+    return (per.withColumn("duration", F.max("_m").over(Window.partitionBy(match)))
+            .select(match, "duration", category))
+
+
+def duration_summary(snaps: DataFrame, match: str = "replay_id", frame: str = "frame") -> DataFrame:
+    """One row: max duration, mean duration over snapshots (long matches weigh
+    more, as in the study) and mean over matches.
+
+    From one per-match aggregate (d = max frame, n = rows): the snapshot
+    mean of the duration is sum(n * d) / sum(n).
+    """
+    per = snaps.groupBy(match).agg(F.max(frame).alias("d"), F.count(F.lit(1)).alias("n"))
+    return per.agg(F.max("d").alias("max_duration"),
+                   (F.sum(F.col("d") * F.col("n")) / F.sum("n")).alias("mean_duration_snapshots"),
+                   F.avg("d").alias("mean_duration_matches"))
 
 
 def before_cutoff(snaps: DataFrame, cutoff: float | None, frame: str = "frame") -> DataFrame:

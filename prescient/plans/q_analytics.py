@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from prescient.functions.distributions import sql_t_two_sided_p
 from prescient.functions.frames import ADAPTER_CUTOFFS, FRAMES_PER_MINUTE, frames_to_minutes
 from prescient.operators import significance as sig
-from prescient.operators import summary, sweep
+from prescient.operators import prep, summary, sweep
 from prescient.plans import inputs
 from prescient.plans.inputs import CLASSIFIERS
 from prescient.plans.oracle import DURATION, MEASURES, PREDICTIONS, SNAPSHOTS, with_
@@ -178,7 +178,8 @@ def earliest_reliable_cutoff(spark, sf_dir):
     and percent of the (snapshot-weighted) mean duration."""
     s = _summary(spark, sf_dir).withColumnRenamed("mean", "accuracy")
     first = sweep.earliest_cutoff(s, 0.5, ["classifier"])
-    mean_dur = inputs.snapshots(spark, sf_dir, with_duration=True).agg(F.avg("duration")).scalar()
+    mean_dur = prep.duration_summary(inputs.snapshots(spark, sf_dir)).select(
+        "mean_duration_snapshots").scalar()
     return first.select("classifier", "cutoff", r6(frames_to_minutes("cutoff")).alias("minutes"),
                         r6(F.col("cutoff") / mean_dur * 100.0).alias("pct_mean_duration"))
 
@@ -191,8 +192,8 @@ FROM (SELECT unnest([{", ".join(str(c) for c in ADAPTER_CUTOFFS[:-1])}]) AS cuto
 def frames_to_minutes_q(spark, sf_dir):
     """Each cutoff (the last one = longest match) in minutes and as a share
     of the mean duration."""
-    snaps = inputs.snapshots(spark, sf_dir, with_duration=True)
-    stats = snaps.agg(F.max("frame").alias("mx"), F.avg("duration").alias("md"))
+    stats = prep.duration_summary(inputs.snapshots(spark, sf_dir)).select(
+        F.col("max_duration").alias("mx"), F.col("mean_duration_snapshots").alias("md"))
     arr = F.concat(F.array(*[F.lit(c) for c in ADAPTER_CUTOFFS[:-1]]), F.array(F.col("mx")))
     return (stats.select(F.explode(arr).alias("cutoff"), "md")
             .select("cutoff", r6(frames_to_minutes("cutoff")).alias("minutes"),

@@ -13,7 +13,7 @@ from prescient.plans.oracle import DURATION, SNAPSHOTS, with_
 from prescient.plans.registry import query, r6
 from prescient.session import scratch_path
 from prescient.sources import sinks
-from prescient.sources.snapshots import ADAPTER_ENEMY, ADAPTER_PAIRS, add_duration
+from prescient.sources.snapshots import ADAPTER_ENEMY, ADAPTER_PAIRS
 
 
 def _fresh(spark, name):
@@ -63,15 +63,17 @@ def cutoff_filter_none(spark, sf_dir):
 @query("match_metadata", with_(SNAPSHOTS, DURATION) + """
 SELECT DISTINCT replay_id, duration, races FROM snaps_d""")
 def match_metadata(spark, sf_dir):
-    return prep.match_metadata(inputs.snapshots(spark, sf_dir, with_duration=True))
+    return prep.match_metadata(inputs.snapshots(spark, sf_dir))
 
 
 @query("drop_columns", with_(SNAPSHOTS, DURATION) + """
 SELECT row_key, frame, quantity, price, discount, tax, linenumber, enemy_quantity,
        enemy_price, winner FROM snaps_d""")
 def drop_columns(spark, sf_dir):
-    """The predictor table: everything but match id, duration and pairing."""
-    return inputs.snapshots(spark, sf_dir, with_duration=True).drop("replay_id", "duration", "races")
+    """The predictor table: everything but match id, duration and pairing.
+    (Duration is dropped, so it is never computed: same rows, no join.)"""
+    snaps = inputs.snapshots(spark, sf_dir)
+    return snaps.drop("replay_id", "duration", "races")
 
 
 @query("composite_key", with_(SNAPSHOTS) + """
@@ -142,15 +144,13 @@ SELECT max(duration) AS max_duration,
 FROM snaps_d""")
 def duration_stats(spark, sf_dir):
     """Max and mean duration over snapshots (as the study: long matches
-    weigh more) and the per-match mean."""
-    snaps = inputs.snapshots(spark, sf_dir)
-    per_match = snaps.groupBy("replay_id").agg(F.max("frame").alias("d"))
-    snap_w = add_duration(snaps).agg(
-        F.max("duration").alias("max_duration"),
-        r6(F.avg("duration")).alias("mean_duration_snapshots"),
-        r6(frames_to_minutes(F.avg("duration"))).alias("mean_minutes_snapshots"))
-    return snap_w.withColumn("mean_duration_matches",
-                             per_match.agg(r6(F.avg("d"))).scalar())
+    weigh more) and the per-match mean, from one per-match aggregate."""
+    d = prep.duration_summary(inputs.snapshots(spark, sf_dir))
+    return d.select("max_duration",
+                    r6("mean_duration_snapshots").alias("mean_duration_snapshots"),
+                    r6(frames_to_minutes(F.col("mean_duration_snapshots")))
+                    .alias("mean_minutes_snapshots"),
+                    r6("mean_duration_matches").alias("mean_duration_matches"))
 
 
 @query("class_counts", with_(SNAPSHOTS) + """
