@@ -99,6 +99,22 @@ def pipeline(estimator, inputs: list[str] | None = None, extra: list | None = No
     return Pipeline(stages=[*fe.build_stages(inputs), *(extra or []), estimator])
 
 
+def fit_or_load(estimator: Pipeline, train: DataFrame, path: str) -> PipelineModel:
+    """Reuse a model a previous run finished saving, else fit and save it.
+
+    "Finished" is the ``_SUCCESS`` marker of the model's metadata folder,
+    checked through the Hadoop FileSystem of ``path``; a save that died
+    half-way is redone with overwrite.
+    """
+    from prescient.sources.sinks import is_complete
+    spark = train.sparkSession
+    if is_complete(spark, path.rstrip("/") + "/metadata"):
+        return PipelineModel.load(path)
+    model = estimator.fit(train)
+    model.write().overwrite().save(path)
+    return model
+
+
 def evaluator() -> MulticlassClassificationEvaluator:
     return MulticlassClassificationEvaluator(labelCol=LABEL, predictionCol="prediction",
                                              metricName="accuracy")

@@ -106,3 +106,14 @@ def test_svm_variants_run(parts):
     m = L.pipeline(L.svm_linear(1.0, n), extra=[L.scaler(inp=fe.INDEXED_FEATURES)]).fit(train)
     assert _accuracy(m, test) >= 0.70
     assert len(NUMERIC_FEATURES) == 8
+
+
+def test_fit_or_load_reuses_saved_model(parts, tmp_path):
+    train, test = parts
+    path = str(tmp_path / "lr")
+    first = L.fit_or_load(L.pipeline(L.lr(0.3)), train, path)
+    # a second call must load, not fit: an estimator that cannot fit proves it
+    again = L.fit_or_load(L.pipeline(L.lr(0.3)), train.limit(0), path)
+    a = L.predictions(first, test, "x", ["row_key"]).orderBy("row_key").collect()
+    b = L.predictions(again, test, "x", ["row_key"]).orderBy("row_key").collect()
+    assert a == b
