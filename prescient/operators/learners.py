@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from prescient.operators import features as fe
+from prescient.session import cut_lineage
 
 LABEL = fe.LABEL_IDX
 FEAT = fe.INDEXED_FEATURES
@@ -134,7 +135,9 @@ def grid_search(train: DataFrame, estimator, grid, fold_col: str | None = "fold"
     cv = CrossValidator(estimator=pipeline(estimator, inputs, extra), estimatorParamMaps=grid,
                         evaluator=evaluator(), numFolds=folds, parallelism=parallelism,
                         seed=seed, **({"foldCol": fold_col} if fold_col else {}))
-    model = cv.fit(train)
+    # CV reads its input twice per fold and grid point; write it once to the
+    # shared checkpoint folder instead of recomputing its lineage each time
+    model = cv.fit(cut_lineage(train))
     rows = [(i, ", ".join(f"{p.name}={v}" for p, v in pm.items()), float(m))
             for i, (pm, m) in enumerate(zip(grid, model.avgMetrics))]
     table = train.sparkSession.createDataFrame(rows, "grid_point int, params string, accuracy double")
