@@ -1,4 +1,4 @@
 """Loads every corpus query."""
 
-from prescient.llm import q_exact, q_lang, q_mix, q_tokens  # noqa: F401
+from prescient.llm import q_exact, q_lang, q_mix, q_quality, q_tokens  # noqa: F401
 from prescient.llm.registry import ORACLE, QUERIES  # noqa: F401
