@@ -12,10 +12,15 @@ each (coordinate, value) pair:
   documents share comes last and mostly falls outside.
 * Candidates are merged in rounds. In the first rounds every class meets the
   leader it shares most postings with (one candidate a class), which joins
-  large groups of copies without their pairs. The last round compares the
-  signatures of all classes of a posting that are still in different
-  components, in blocks of at most BLOCK classes, and keeps the pairs that
-  match in MATCHES coordinates.
+  large groups of copies without their pairs. The first leader of a posting is
+  its class of the most frequent values: in a group of altered copies often the
+  text they come from.
+* The last round takes what is still in different components: the classes of a
+  posting meet in blocks of about BLOCK, and a block pair counts in how many
+  coordinates two classes agree, each pair at one posting only. Pairs that
+  reach MATCHES are confirmed there on the full sets, unless they are already
+  in one component, and only links that join components are emitted: at most
+  one a class and block, however many pairs a common passage makes.
 * Every candidate is confirmed on the full sets; confirmed links are merged into
   components as they are found.
 
@@ -176,8 +181,7 @@ def _confirm(percent: int):
                 y = np.frombuffer(y.as_buffer(), dtype=np.uint64)
                 if 100 * min(x.size, y.size) < percent * max(x.size, y.size):
                     continue
-                both = np.intersect1d(x, y, assume_unique=True).size
-                if 100 * both >= percent * (x.size + y.size - both):
+                if _similar(x, y, percent):
                     keep.append(i)
             yield b.select(["a", "b"]).take(pa.array(keep, pa.int64()))
     return rows
@@ -193,28 +197,46 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 # -------------------------------------------------------------- candidates
 
-def _block_pairs(matches: int):
-    """Classes of a posting, one block against another: the pairs in different
-    components that agree in enough coordinates."""
-    def pairs(pdf):
-        import pandas as pd
-        first = pdf["block"].to_numpy() == pdf["i"].to_numpy()
-        same = pdf["i"].iloc[0] == pdf["j"].iloc[0]
-        node, label = pdf["node"].to_numpy(), pdf["label"].to_numpy()
-        sig = np.array(pdf["sig"].tolist(), dtype=np.int64)
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = np.intersect1d(x, y, assume_unique=True).size
+    return 100 * both >= percent * (x.size + y.size - both)
+
+
+def _block_links(matches: int, percent: int):
+    """Classes of a posting, one block against another: confirmed links that join
+    components. A pair is met at the first posting that both have, by coordinate."""
+    coordinates = np.arange(COORDINATES)
+
+    def links(t: pa.Table) -> pa.Table:
+        block, i_, j_, node, comp, size, mask = (np.asarray(t[c]) for c in (
+            "block", "i", "j", "node", "label", "size", "mask"))
+        comp = comp.copy()
+        sig = np.asarray(t["sig"].combine_chunks().flatten()).reshape(-1, COORDINATES)
+        posted = ((mask[:, None] >> coordinates) & 1).astype(bool)
+        pos = t["pos"][0].as_py()
+        sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64)
+                for c in t["shingles"].chunks for x in c]
+        first = block == i_
+        same = i_[0] == j_[0]
         left = np.flatnonzero(first)
         right = left if same else np.flatnonzero(~first)
         a, b = [], []
         for i in left:
-            near = right[((sig[right] == sig[i]).sum(axis=1) >= matches)
-                         & (label[right] != label[i])]
-            if same:
-                near = near[near > i]
-            a.append(np.minimum(node[near], node[i]))
-            b.append(np.maximum(node[near], node[i]))
-        none = np.zeros(0, dtype=np.int64)
-        return pd.DataFrame({"a": np.concatenate([*a, none]), "b": np.concatenate([*b, none])})
-    return pairs
+            near = right[right > i] if same else right
+            near = near[(comp[near] != comp[i])
+                        & (100 * np.minimum(size[near], size[i])
+                           >= percent * np.maximum(size[near], size[i]))]
+            equal = sig[near] == sig[i]
+            count = equal.sum(axis=1)
+            keep = (count >= matches) & ((equal & posted[near] & posted[i]).argmax(axis=1) == pos)
+            near, count = near[keep], count[keep]
+            for j in near[np.argsort(-count, kind="stable")]:
+                if comp[j] != comp[i] and _similar(sets[i], sets[j], percent):
+                    a.append(node[i])
+                    b.append(node[j])
+                    comp[comp == comp[j]] = comp[i]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    return links
 
 
 def _labelled(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -229,9 +251,10 @@ def _labelled(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def _leader_pairs(postings: DataFrame, turn: int) -> DataFrame:
-    """One candidate a class: the leader it shares most postings with. The leader of a
-    posting is its class of least hash, of another component than the class."""
-    p = F.xxhash64(F.lit(turn), F.col("node"))
+    """One candidate a class: the leader it shares most postings with, of another
+    component. The leader of a posting is its class of the most frequent values in
+    the first round, then one by hash."""
+    p = -F.col("weight") if turn == 0 else F.xxhash64(F.lit(turn), F.col("node"))
     leaders = postings.groupBy("key").agg(F.min_by("node", p).alias("leader"),
                                           F.min_by("label", p).alias("led"))
     return postings.join(leaders, "key").where("label <> led") \
@@ -241,15 +264,24 @@ def _leader_pairs(postings: DataFrame, turn: int) -> DataFrame:
                 F.greatest("node", "best.leader").alias("b")).distinct()
 
 
-def _all_pairs(postings: DataFrame, classes: DataFrame, matches: int, block: int) -> DataFrame:
-    sizes = postings.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    dealt = postings.join(sizes, "key") \
-        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")) \
+def _signature_links(postings: DataFrame, classes: DataFrame, sets: DataFrame, matches: int,
+                     percent: int, block: int) -> DataFrame:
+    """Links among each posting's classes that join components."""
+    # Postings with the very same classes meet once.
+    h = F.xxhash64("node")
+    keys = postings.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(h).alias("x"),
+                                       F.bit_xor(F.xxhash64(h, F.lit(1))).alias("y"))
+    keys = keys.groupBy("n", "x", "y").agg(F.min("key").alias("key")) \
+        .select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    once = written(postings.join(keys, "key"), "open-once")
+    mask = once.groupBy("node").agg(F.bit_or(F.expr("shiftleft(1L, pos)")).alias("mask"))
+    members = mask.join(classes, "node").join(sets, "node")
+    dealt = once.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")) \
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
-        .select("key", "node", "label", "block", F.least("block", "other").alias("i"),
+        .select("key", "pos", "node", "label", "block", F.least("block", "other").alias("i"),
                 F.greatest("block", "other").alias("j"))
-    return dealt.join(classes.select("node", "sig"), "node") \
-        .groupBy("key", "i", "j").applyInPandas(_block_pairs(matches), "a long, b long").distinct()
+    return dealt.join(members, "node").groupBy("key", "i", "j") \
+        .applyInArrow(_block_links(matches, percent), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, matches: int = MATCHES,
@@ -265,16 +297,19 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, matches: int = MATC
     classes = rows.where("n_shingles > 0").groupBy("digest").agg(
         F.min("row").alias("node"), F.count("*").alias("n_class"))
     classes = written(classes, "classes")
-    signed = written(rows.join(classes, rows.row == classes.node).select("node", "sig"), "signatures")
+    signed = written(rows.join(classes, rows.row == classes.node)
+                     .select("node", F.col("n_shingles").alias("size"), "sig"), "signatures")
 
     key = F.xxhash64("pos", "col").alias("key")
-    posted = signed.select("node", F.posexplode("sig")).select("node", key)
+    posted = signed.select("node", F.posexplode("sig")).select("node", "pos", key)
     shared = posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     live = posted.join(shared, "key").groupBy("node").agg(
-        F.array_sort(F.collect_list(F.struct("n", "key"))).alias("keys")) \
+        F.array_sort(F.collect_list(F.struct("n", "key", "pos"))).alias("keys")) \
         .where(F.size("keys") >= matches)
-    postings = written(live.select("node", F.explode(F.slice(
-        F.col("keys.key"), F.lit(1), F.size("keys") - (matches - 1))).alias("key")), "postings")
+    weight = F.aggregate("keys", F.lit(0).cast("long"), lambda s, x: s + x["n"])
+    prefix = F.slice("keys", F.lit(1), F.size("keys") - (matches - 1))
+    postings = written(live.select("node", weight.alias("weight"), F.inline(prefix))
+                       .select("node", "weight", "key", "pos"), "postings")
 
     wanted = postings.select("node").distinct().join(classes, "node").select("node", "digest")
     wanted = written(wanted, "candidates")
@@ -286,9 +321,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, matches: int = MATC
     labels = None
     for turn in range(LEADER_ROUNDS + 1):
         open_ = written(_labelled(postings, labels), "open-postings")
-        pairs = _leader_pairs(open_, turn) if turn < LEADER_ROUNDS else \
-            _all_pairs(open_, signed, matches, block)
-        links = confirmed(pairs, sets, percent)
+        if open_.isEmpty():
+            break
+        if turn < LEADER_ROUNDS:
+            links = confirmed(_leader_pairs(open_, turn), sets, percent)
+        else:
+            links = _signature_links(open_, signed, sets, matches, percent, block)
         if labels is not None:  # between components
             for end in ("a", "b"):
                 links = links.join(labels.toDF(end, "of"), end, "left") \
@@ -303,6 +341,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, matches: int = MATC
             new = merged.join(labels.select("node"), "node", "left_anti").select("node", "label")
             labels = written(old.union(new), "labels")
 
+    if labels is None:
+        labels = spark.createDataFrame([], "node long, label long")
     named = rows.select("row", "doc_id", "n_shingles", "digest") \
         .join(classes.select("digest", "node", "n_class"), "digest", "left") \
         .join(labels, "node", "left") \
