@@ -1,4 +1,4 @@
 """Loads every corpus query."""
 
-from prescient.llm import q_chat, q_exact, q_lang, q_mix, q_near, q_quality, q_search, q_tokens  # noqa: F401
+from prescient.llm import q_chat, q_exact, q_lang, q_lm, q_mix, q_near, q_quality, q_search, q_tokens  # noqa: F401
 from prescient.llm.registry import ORACLE, QUERIES  # noqa: F401
