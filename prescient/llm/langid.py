@@ -43,6 +43,8 @@ LEAST_SHARE = 0.02
 PENALTY = 2.0
 UNKNOWN = "und"
 
+# Working columns of ``predict``.
+_TEXT, _LETTER = "_langid_text", "_langid_letter"
 _RANGES = 16
 _SALTS = 256
 
@@ -187,25 +189,25 @@ def infer(model: Model, row: np.ndarray, slot: np.ndarray, n: np.ndarray
 def _predict(model):
     def rows(batches):
         m = model.value
-        for b in slices(batches, limit=SLICE_BYTES // 2):
+        for b in slices(batches, _TEXT, SLICE_BYTES // 2):
             size = b.num_rows
             pred = np.full(size, -1)
             score = np.zeros(size)
             if m.languages:
-                row, slot, n = trigrams(b.column("text"))
+                row, slot, n = trigrams(b.column(_TEXT))
                 if row.size:
                     docs, full, chosen = infer(m, row, slot, n)
                     top = chosen.argmax(axis=1)
                     pred[docs] = top
                     score[docs] = full[np.arange(docs.size), top]
-            pred[~np.asarray(b.column("letter").fill_null(False))] = -1
+            pred[~np.asarray(b.column(_LETTER).fill_null(False))] = -1
             score[pred < 0] = 0
             names = [*m.languages, UNKNOWN]
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(c) for c in b.schema.names if c not in ("text", "letter")),
+                [*(b.column(c) for c in b.schema.names if c not in (_TEXT, _LETTER)),
                  pa.array([names[i] for i in pred], pa.string()),
                  pa.array(np.clip(score, 0.0, 1.0))],
-                names=[*(c for c in b.schema.names if c not in ("text", "letter")),
+                names=[*(c for c in b.schema.names if c not in (_TEXT, _LETTER)),
                        "lang_pred", "score"])
     return rows
 
@@ -217,6 +219,6 @@ def predict(docs: DataFrame, model: Model, *keep: Column) -> DataFrame:
     kept = docs.select(*keep)
     sent = spark.sparkContext.broadcast(model)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return docs.select(*keep, F.col("text").alias("text"),
-                       F.col("text").rlike(r"\p{L}").alias("letter")) \
+    return docs.select(*keep, F.col("text").alias(_TEXT),
+                       F.col("text").rlike(r"\p{L}").alias(_LETTER)) \
         .mapInArrow(_predict(sent), schema + ", lang_pred string, score double")
