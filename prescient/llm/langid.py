@@ -26,6 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from prescient.llm.common import SLICE_BYTES, slices, text_buffer
 from prescient.session import ready
@@ -218,7 +219,8 @@ def predict(docs: DataFrame, model: Model, *keep: Column) -> DataFrame:
     spark = docs.sparkSession
     kept = docs.select(*keep)
     sent = spark.sparkContext.broadcast(model)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
     return docs.select(*keep, F.col("text").alias(_TEXT),
                        F.col("text").rlike(r"\p{L}").alias(_LETTER)) \
-        .mapInArrow(_predict(sent), schema + ", lang_pred string, score double")
+        .mapInArrow(_predict(sent), T.StructType(
+            [*kept.schema.fields, T.StructField("lang_pred", T.StringType()),
+             T.StructField("score", T.DoubleType())]))
