@@ -121,16 +121,18 @@ def fit(estimator, train: DataFrame):
 def fit_or_load(estimator: Pipeline, train: DataFrame, path: str) -> PipelineModel:
     """Reuse a model a previous run finished saving, else fit and save it.
 
-    "Finished" is the ``_SUCCESS`` marker of the model's metadata folder,
-    checked through the Hadoop FileSystem of ``path``; a save that died
-    half-way is redone with overwrite.
+    Spark writes a model's metadata first and its stages after, so their markers
+    say nothing about the whole. A marker of our own is written last, beside
+    the model; a save that died half-way has none and is redone.
     """
-    from prescient.sources.sinks import is_complete
     spark = train.sparkSession
-    if is_complete(spark, path.rstrip("/") + "/metadata"):
+    done = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "/_MODEL_SAVED")
+    fs = done.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(done):
         return PipelineModel.load(path)
     model = fit(estimator, train)
     model.write().overwrite().save(path)
+    fs.create(done, True).close()
     return model
 
 

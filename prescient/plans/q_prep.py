@@ -38,7 +38,7 @@ def multi_part_scan(spark, sf_dir):
     folder scan row-binds them all (pairing recovered by partition discovery)."""
     snaps = inputs.snapshots(spark, sf_dir)
     path = _fresh(spark, "multi_part")
-    sinks.write_csv(snaps.repartition(4), path, partition_by=["races"])
+    sinks.write_csv(snaps, path, partition_by=["races"])
     back = (spark.read.option("header", "true")
             .schema(snaps.drop("races").schema).csv(path))
     return back.groupBy("races").agg(F.count(F.lit(1)).alias("n"),

@@ -61,13 +61,14 @@ def get_session(master: str = "local[8]", shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, registering it with the context.
 
-    Reads ``spark.checkpoint.dir`` from the session. Sets a private folder only
-    when the key is unset, which happens in tests, never on a cluster that
-    names one.
+    Reads ``spark.checkpoint.dir`` from the session. Where the key is unset, a
+    local master (tests, a laptop) gets a private folder; any other is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or \
         spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="prescient-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)

@@ -43,8 +43,13 @@ def write_single_csv(df: DataFrame, path: str) -> None:
 
 
 def materialize_once(spark: SparkSession, path: str, build: Callable[[], DataFrame],
-                     fmt: str = "parquet", partition_by: list[str] | None = None) -> DataFrame:
-    """Read ``path`` if a previous run finished it; otherwise build and write it."""
+                     fmt: str = "parquet", partition_by: list[str] | None = None,
+                     schema=None) -> DataFrame:
+    """Read ``path`` if a previous run finished it; otherwise build and write it.
+
+    CSV needs ``schema``: types are declared, never inferred ('007' stays text)."""
+    if fmt == "csv" and schema is None:
+        raise ValueError("a CSV table needs a schema")
     if not is_complete(spark, path):
         w = build().write.mode("overwrite")
         if partition_by:
@@ -54,7 +59,7 @@ def materialize_once(spark: SparkSession, path: str, build: Callable[[], DataFra
         else:
             w.format(fmt).save(path)
     if fmt == "csv":
-        return spark.read.option("header", "true").option("inferSchema", "true").csv(path)
+        return spark.read.option("header", "true").schema(schema).csv(path)
     return spark.read.format(fmt).load(path)
 
 

@@ -10,13 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Parquet scan; projections and filters applied later reach the scan.
 
-    A scan with fewer splits than the cluster has cores (a small file with
-    one row group) is spread by a round-robin repartition so the per-row
-    work after it (hashing, explode, scoring) uses every core. At scale the
-    scan already has thousands of splits and nothing is added.
+    Split sizes are the session's business (``spark.sql.files.maxPartitionBytes``);
+    the reader adds no exchange.
     """
-    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-    par = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < par:
-        df = df.repartition(par)
-    return df
+    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
