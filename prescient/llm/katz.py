@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from prescient.llm.common import mix64, slices, text_buffer, word_hashes, written
 from prescient.session import ready
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 6 << 20
 #: Tokens of the corpus for each bucket, about.
 BUCKET_TOKENS = 2_000_000
 #: Counts up to this are discounted by Good-Turing.
