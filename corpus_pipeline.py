@@ -19,8 +19,6 @@ from prescient.llm.packing import pack
 from prescient.llm.tokenizer import public_path
 from prescient.session import ready
 
-#: A document stays if its main language makes at least this share of it.
-LEAST_SHARE = 0.4
 VOCABULARY, END_ID = "byte_bpe_50k.json", 2
 
 
@@ -29,12 +27,12 @@ def _row(docs: DataFrame):
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without an identified language: no text, no letter, or no
-    language with a share of LEAST_SHARE. Learns from four fifths of the rows."""
+    """Drop documents without an identified language (``und``: no text, no letter).
+    A document of several languages stays. Learns from four fifths of the rows."""
     ready(spark)
     model = langid.train(docs.where(crc_bucket(F.col("doc_id"), 5) != 0))
     return langid.predict(docs, model, _row(docs)) \
-        .where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SHARE)) \
+        .where(F.col("lang_pred") != langid.UNKNOWN) \
         .select("row.*")
 
 
