@@ -207,3 +207,38 @@ def test_knn_query_in_cell_without_train_rows(spark):
     for r in nn.orderBy("q_id", "rank").collect():
         got.setdefault(r["q_id"], []).append(r["t_id"])
     assert got == _brute(train, test, 3)
+
+
+def test_knn_blocks_never_exceed_their_bound(spark):
+    """A cell with most rows, repeated ids included, is dealt into blocks of at most 64."""
+    rows = [(i if i % 3 else 7, 0 if i % 10 else 1, [float(i % 11)]) for i in range(1500)]
+    df = spark.createDataFrame(rows, "id long, cell int, v array<double>")
+    dealt = knn.deal(df, "id", "v", 64, "block").cache()
+    assert dealt.groupBy("cell", "block").count().agg({"count": "max"}).first()[0] <= 64
+    assert dealt.count() == 1500
+
+
+def test_knn_string_ids_on_unclustered_vectors(spark, monkeypatch):
+    """Any id and label type; no search call gets more than ``block_rows`` rows a side."""
+    import random
+    rnd = random.Random(5)
+    train = [(i, [rnd.random() for _ in range(6)], 0) for i in range(700)]
+    test = [(1000 + i, [rnd.random() for _ in range(6)], 0) for i in range(400)]
+    schema = "vec_id string, embedding array<double>, label string"
+    tdf, qdf = (spark.createDataFrame([(f"{i:05d}", v, "x") for i, v, _ in rows], schema)
+                for rows in (train, test))
+    plain = knn._block_topk
+
+    def bounded(*args):
+        fn = plain(*args)
+
+        def check(key, q, t):
+            assert len(q) <= 64 and len(t) <= 64, (key, len(q), len(t))
+            return fn(key, q, t)
+        return check
+    monkeypatch.setattr(knn, "_block_topk", bounded)
+    nn = knn.nearest(qdf, tdf, 4, n_cells=8, block_rows=64)
+    got = {}
+    for r in nn.orderBy("q_id", "rank").collect():
+        got.setdefault(int(r["q_id"]), []).append(int(r["t_id"]))
+    assert got == _brute(train, test, 4)
