@@ -1,8 +1,9 @@
 """Distribution tails for the significance tests.
 
 * Student t, two-sided p for integer degrees of freedom: closed form
-  (Abramowitz & Stegun 26.7.3 / 26.7.4) built from Spark expressions, so it
-  runs JVM-side; ``sql_t_two_sided_p`` is the same formula in SQL.
+  (Abramowitz & Stegun 26.7.3 / 26.7.4), and a tail series where p is small,
+  built from Spark expressions, so it runs JVM-side; ``sql_t_two_sided_p`` is
+  the closed form in SQL (enough for values rounded to six places).
 * Chi-square upper tail and the Shapiro-Wilk test (Royston 1995, algorithm
   AS R94) are plain Python on floats, used inside pandas UDFs over small
   groups (one group = the test sets of one cutoff and classifier).
@@ -29,8 +30,16 @@ def _coef_odd(j: Column) -> Column:
     return F.aggregate(seq, F.lit(1.0), lambda a, i: a * (2 * i) / (2 * i + 1))
 
 
+#: Above this the closed form loses no digits that matter; below it the tail series is used.
+_T_NEAR = 0.05
+
+
 def t_two_sided_p(t, df) -> Column:
-    """P(|T_df| >= |t|) for integer df >= 1 (null when t is null)."""
+    """P(|T_df| >= |t|) for integer df >= 1 (null when t is null).
+
+    The closed form is 1 - a, which cancels when p is small; there the tail
+    series takes over.
+    """
     tc = t if isinstance(t, Column) else F.col(t)
     dc = (df if isinstance(df, Column) else F.col(df)).cast("int")
     theta = F.atan(F.abs(tc) / F.sqrt(dc.cast("double")))
@@ -46,8 +55,31 @@ def t_two_sided_p(t, df) -> Column:
     odd_gt1 = (F.lit(2.0) / F.lit(math.pi)) * (
         theta + s * terms(F.floor((dc - 3) / 2).cast("int"), _coef_odd, True))
     one = F.lit(2.0) / F.lit(math.pi) * theta
-    a = (F.when(dc % 2 == 0, even).when(dc == 1, one).otherwise(odd_gt1))
-    return F.lit(1.0) - a
+    near = F.lit(1.0) - F.when(dc % 2 == 0, even).when(dc == 1, one).otherwise(odd_gt1)
+    return F.when(near > _T_NEAR, near).otherwise(_t_tail(tc, dc))
+
+
+def _t_tail(t: Column, df: Column) -> Column:
+    """The same probability as its upper-tail series, exact to the last digits.
+
+    The incomplete beta function I_x(df/2, 1/2) at x = df / (df + t^2), by its
+    power series (A&S 26.5.4); every term is positive, so nothing cancels. The
+    number of terms follows from x: what is left out is below e^-40 of the sum.
+    """
+    d, t2 = df.cast("double"), t * t
+    x, a = d / (d + t2), d / 2
+    half = F.floor(df / 2).cast("int")
+    first = F.when(df % 2 == 0, _coef_even(half)) \
+        .otherwise(F.lit(2.0) / F.lit(math.pi) * _coef_odd(half))
+    n = F.when(t2 > 0, F.ceil(F.lit(40.0) / -F.log(x))).otherwise(F.lit(1))
+    start = F.struct(F.lit(1.0).alias("sum"), F.lit(1.0).alias("term"))
+
+    def step(acc, j):
+        term = acc["term"] * x * (a + j - 0.5) / (a + j)
+        return F.struct((acc["sum"] + term).alias("sum"), term.alias("term"))
+    total = F.aggregate(F.sequence(F.lit(1), F.greatest(n.cast("int"), F.lit(1))), start, step,
+                        lambda acc: acc["sum"])
+    return first * F.pow(x, a) * F.sqrt(t2 / (d + t2)) * total
 
 
 def sql_t_two_sided_p(t: str, df: str) -> str:

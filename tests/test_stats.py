@@ -89,6 +89,30 @@ def test_t_closed_form(spark):
         assert r["p"] == pytest.approx(numeric(r["t"], r["df"]), abs=2e-4)
 
 
+def test_t_small_tail(spark):
+    """Small p to ten digits: exact closed forms in 60-digit arithmetic (even df)."""
+    from decimal import Decimal, getcontext
+    getcontext().prec = 60
+
+    def exact(t, v):
+        t, v = Decimal(t), Decimal(v)
+        cos2 = v / (v + t * t)
+        total, coef = Decimal(0), Decimal(1)
+        for j in range(int(v) // 2):
+            total += coef * cos2 ** j
+            coef *= Decimal(2 * j + 1) / Decimal(2 * j + 2)
+        return float(1 - (t / (v + t * t).sqrt()) * total)
+    cases = [(t, v) for t in (2.5, 8.0, 74.1128, 3442.6) for v in (2, 4, 10, 40)]
+    df = spark.createDataFrame(cases, "t double, df int").withColumn("p", t_two_sided_p("t", "df"))
+    for r in df.collect():
+        assert r["p"] == pytest.approx(exact(r["t"], r["df"]), rel=1e-10)
+    # odd df: nine degrees of freedom, t = 1000 gave exactly 0; df 1 is Cauchy's arc tangent
+    odd = spark.createDataFrame([(1000.0, 9), (1000.0, 1)], "t double, df int") \
+        .withColumn("p", t_two_sided_p("t", "df")).collect()
+    assert 0 < odd[0]["p"] < 1e-22
+    assert odd[1]["p"] == pytest.approx(2 / math.pi * math.atan(1 / 1000.0), rel=1e-10)
+
+
 def test_chi2_sf():
     assert chi2_sf(4.0, 2) == pytest.approx(math.exp(-2.0))
     assert chi2_sf(3.84145882, 1) == pytest.approx(0.05, abs=1e-7)
