@@ -177,7 +177,8 @@ WHERE classifier IN (SELECT DISTINCT classifier FROM predictions)""")
 def literal_table(spark, sf_dir):
     """A literal table with a declared schema, kept to the classifiers that
     scored rows (semi join against the data)."""
-    present = inputs.predictions(spark, sf_dir).select("classifier")
+    # one row per classifier before the join, whatever the number of predictions
+    present = inputs.predictions(spark, sf_dir).select("classifier").distinct()
     return _params_table(spark).join(present, "classifier", "left_semi")
 
 
