@@ -16,6 +16,8 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,8 +90,12 @@ def stratified_split(df: DataFrame, label: str = "winner", p: float = 0.8,
                      part_col: str = "part") -> DataFrame:
     """First ceil(p * n_label) rows of each label in md5 order are 'train'."""
     r = rank_within_label(df, label, seed, key)
+    # p as a fraction of whole numbers: a product of doubles can step over an integer
+    share = Fraction(str(p))
+    n_train = F.call_function("div", F.col("label_size") * share.numerator
+                              + (share.denominator - 1), F.lit(share.denominator))
     return (r.withColumn(part_col, F.when(
-        F.col("rank_in_label") <= F.ceil(F.col("label_size") * F.lit(p)), F.lit("train"))
+        F.col("rank_in_label") <= n_train, F.lit("train"))
         .otherwise(F.lit("test"))).drop("rank_in_label", "label_size"))
 
 

@@ -242,3 +242,11 @@ def test_knn_string_ids_on_unclustered_vectors(spark, monkeypatch):
     for r in nn.orderBy("q_id", "rank").collect():
         got.setdefault(int(r["q_id"]), []).append(int(r["t_id"]))
     assert got == _brute(train, test, 4)
+
+
+def test_stratified_split_takes_the_exact_share(spark):
+    """0.55 of 100 rows is 55 (the product of doubles rounds up to 56)."""
+    df = spark.range(100).select(F.col("id").cast("string").alias("row_key"),
+                                 F.lit("a").alias("winner"))
+    out = split.stratified_split(df, "winner", 0.55)
+    assert out.where("part = 'train'").count() == 55
