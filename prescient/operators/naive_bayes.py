@@ -8,8 +8,7 @@ sums. The parameters are what ``pyspark.ml.classification.NaiveBayes``
     pi[c]       = ln(n_c + lambda) - ln(N + lambda * K)
 
 The fitted table has groups x labels rows (set by the number of splits and
-classes, not by the data); scoring uses it as driver-side constants, as a
-``pyspark.ml`` model would, or joins it when it is unexpectedly large.
+classes, not by the data); scoring joins it, packed to one row per group.
 Many models (one per split) are fitted in the same pass by putting the split
 id in ``group_cols``.
 """
@@ -22,11 +21,21 @@ from pyspark.sql import functions as F
 
 def class_sums(train: DataFrame, feature_cols: list[str], label: str = "winner",
                group_cols: list[str] | None = None) -> DataFrame:
-    """The sufficient statistics: one partial aggregate per (group, label)."""
+    """The sufficient statistics: one partial aggregate per (group, label).
+
+    Rows without a label are not learned from, a null feature adds nothing, and
+    a negative one is an error, as counts cannot be negative.
+    """
     g = list(group_cols or [])
-    return train.groupBy(*g, label).agg(
+
+    def value(c):
+        x = F.col(c).cast("double")
+        return F.when(x < 0, F.raise_error(F.lit(f"naive Bayes: negative value of {c}"))) \
+            .otherwise(x)
+
+    return train.where(F.col(label).isNotNull()).groupBy(*g, label).agg(
         F.count(F.lit(1)).alias("n_c"),
-        F.array(*[F.sum(F.col(c).cast("double")) for c in feature_cols]).alias("sums"))
+        F.array(*[F.coalesce(F.sum(value(c)), F.lit(0.0)) for c in feature_cols]).alias("sums"))
 
 
 def params_from_sums(sums: DataFrame, d: int, label: str = "winner",
@@ -68,101 +77,37 @@ def importance(params: DataFrame, feature_cols: list[str], label: str = "winner"
     return spread.withColumn("importance", F.col("_sp") / F.sum("_sp").over(wg)).drop("_sp")
 
 
-# A fitted model larger than this many numbers is not collected; scoring
-# then joins the parameter table instead (see ``predict``).
-MAX_LOCAL_PARAMS = 1_000_000
-
-
 def predict(df: DataFrame, params: DataFrame, feature_cols: list[str],
             label: str = "winner", group_cols: list[str] | None = None,
             out_col: str = "prediction", majority_col: str | None = None) -> DataFrame:
     """Add the argmax-posterior label; ties go to the lower label index.
 
-    ``majority_col`` also adds the group's most frequent training label
-    (label index 0), which comes with the fitted parameters for free.
+    A row with a null feature has no score in any class and gets label index 0,
+    the most frequent training label. Rows of a group without a model are dropped.
+    ``majority_col`` also adds label index 0 of the row's group.
 
-    Like a ``pyspark.ml`` model, the fitted parameters (groups x classes x
-    features numbers, set by the number of splits and classes) are brought
-    to the driver and scoring becomes literal arithmetic inside whole-stage
-    codegen, with no join. A model above ``MAX_LOCAL_PARAMS`` numbers is
-    scored by joining the parameter table on the group columns instead.
+    The parameters are packed into one row per group (classes x features numbers)
+    and broadcast: their size is that of the model, set by the number of groups,
+    classes and features. The expression grows with the features alone.
     """
     g = list(group_cols or [])
-    cap = MAX_LOCAL_PARAMS // (len(feature_cols) + 1)
-    rows = params.limit(cap + 1).collect()  # one fit job; never more than cap + 1 rows
-    if len(rows) <= cap:
-        return _predict_local(df, rows, feature_cols, label, g, out_col, majority_col)
-    return _predict_join(df, params, feature_cols, label, g, out_col, majority_col)
-
-
-def _predict_local(df, rows, feature_cols, label, g, out_col, majority_col):
-    models: dict[tuple, list] = {}
-    for r in rows:
-        models.setdefault(tuple(r[c] for c in g), []).append(r)
-    for key in models:
-        models[key].sort(key=lambda r: r["label_idx"])
-    xs = [F.col(c).cast("double") for c in feature_cols]
-
-    def score(r):
-        # pi + (((0 + x0 t0) + x1 t1) + ...): the same order as the SQL oracle
-        dot = F.lit(0.0)
-        for x, t in zip(xs, r["theta"]):
-            dot = dot + x * F.lit(float(t))
-        return F.lit(float(r["pi"])) + dot
-
-    def argmax(classes):
-        scores = [score(r) for r in classes]
-        if len(scores) == 1:
-            return F.lit(classes[0][label])
-        best = F.greatest(*scores)
-        out = None
-        for sc, r in zip(scores, classes):
-            out = (F.when(sc == best, F.lit(r[label])) if out is None
-                   else out.when(sc == best, F.lit(r[label])))
-        return out
-
-    def per_group(fn):
-        out = None
-        for key, classes in models.items():
-            cond = F.lit(True)
-            for c, v in zip(g, key):
-                cond = cond & (F.col(c) == F.lit(v))
-            out = F.when(cond, fn(classes)) if out is None else out.when(cond, fn(classes))
-        return out if out is not None else F.lit(None).cast("string")
-
-    res = df.withColumn(out_col, per_group(argmax))
-    if majority_col:
-        res = res.withColumn(majority_col, per_group(lambda cl: F.lit(cl[0][label])))
-    # rows of a group absent from training get no model, as an inner join would drop them
-    keys = list(models)
-    if g and keys:
-        present = F.lit(False)
-        for key in keys:
-            cond = F.lit(True)
-            for c, v in zip(g, key):
-                cond = cond & (F.col(c) == F.lit(v))
-            present = present | cond
-        res = res.where(present)
-    return res
-
-
-def _predict_join(df, params, feature_cols, label, g, out_col, majority_col):
     packed = params.groupBy(*g).agg(F.collect_list(
         F.struct("label_idx", F.col(label).alias("lbl"), "pi", "theta")).alias("_cls"))
-    xs = F.array(*[F.col(c).cast("double") for c in feature_cols])
 
     def score(p):
-        dot = F.aggregate(F.zip_with(p["theta"], xs, lambda t, x: t * x),
-                          F.lit(0.0), lambda acc, v: acc + v)
+        # pi + (((0 + x0 t0) + x1 t1) + ...): the same order as the SQL oracle
+        dot = F.lit(0.0)
+        for i, c in enumerate(feature_cols):
+            dot = dot + F.col(c).cast("double") * p["theta"][i]
         return F.struct((p["pi"] + dot).alias("s"), (-p["label_idx"]).alias("neg_idx"),
                         p["lbl"].alias("lbl"))
 
     # one model per group: equi-join; a single model: scalar subquery
-    joined = df.join(packed, g) if g else df.withColumn("_cls", packed.select("_cls").scalar())
-    best = F.array_max(F.transform("_cls", score))
-    out = joined.withColumn(out_col, best["lbl"])
+    joined = df.join(F.broadcast(packed), g) if g else \
+        df.withColumn("_cls", packed.select("_cls").scalar())
+    out = joined.withColumn(out_col, F.array_max(F.transform("_cls", score))["lbl"])
     if majority_col:
-        out = out.withColumn(majority_col, F.array_min(F.col("_cls"))["lbl"])
+        out = out.withColumn(majority_col, F.array_min("_cls")["lbl"])
     return out.drop("_cls")
 
 

@@ -1,6 +1,7 @@
 """Properties of the operators."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -250,3 +251,55 @@ def test_stratified_split_takes_the_exact_share(spark):
                                  F.lit("a").alias("winner"))
     out = split.stratified_split(df, "winner", 0.55)
     assert out.where("part = 'train'").count() == 55
+
+
+def test_nb_one_scoring_path_for_many_models(spark):
+    """200 models of 28 features and 3 labels against numpy; a null feature gives label index 0."""
+    rng = np.random.default_rng(5)
+    cols = [f"x{i}" for i in range(28)]
+    rows = [(i % 200, "abc"[int(rng.integers(3))], *map(float, rng.integers(0, 9, 28)))
+            for i in range(4000)]
+    df = spark.createDataFrame(pd.DataFrame(rows, columns=["g", "winner", *cols]))
+    holes = df.withColumn("x3", F.when(F.col("g") % 7 == 0, F.lit(None)).otherwise(F.col("x3")))
+    params = nb.fit_params(df, cols, group_cols=["g"])
+    got = nb.predict(holes, params, cols, group_cols=["g"], majority_col="maj").collect()
+    model = {}
+    for r in params.collect():
+        model.setdefault(r["g"], []).append(r)
+    assert len(got) == 4000
+    for r in got:
+        classes = sorted(model[r["g"]], key=lambda c: c["label_idx"])
+        best = 0
+        if r["x3"] is not None:
+            best = int(np.argmax([c["pi"] + np.dot(c["theta"], [r[c2] for c2 in cols])
+                                  for c in classes]))
+        assert r["prediction"] == classes[best]["winner"]
+        assert r["maj"] == classes[0]["winner"]
+
+
+def test_nb_input_rules(spark):
+    """Rows without a label or a group's model, null and negative features."""
+    train = spark.createDataFrame([("a", 1.0, 2.0), ("a", None, 1.0), ("b", 5.0, 0.0),
+                                   (None, 9.0, 9.0)], "winner string, x double, y double")
+    got = {r["winner"]: (r["n_c"], r["sums"]) for r in nb.class_sums(train, ["x", "y"]).collect()}
+    assert got == {"a": (2, [1.0, 3.0]), "b": (1, [5.0, 0.0])}
+    with pytest.raises(Exception, match="negative value of x"):
+        nb.class_sums(train.withColumn("x", -F.col("x")), ["x", "y"]).collect()
+
+
+def test_knn_on_snapshots_equals_brute_force(spark):
+    from prescient.plans.q_knn import snapshot_predictions
+    snaps = inputs.snapshots(spark, SMALL).orderBy("row_key").limit(500).cache()
+    got = {(r["test_set"], r["row_key"]): r["prediction"]
+           for r in snapshot_predictions(snaps, n_splits=2).collect()}
+    want = {}
+    for s in (1, 2):
+        rows = split.hash_split(snaps, s).collect()
+        train = [r for r in rows if r["part"] == "train"]
+        x = np.array([[float(r[c]) for c in NUMERIC_FEATURES] for r in train])
+        for q in (r for r in rows if r["part"] == "test"):
+            d = np.sqrt(((x - [float(q[c]) for c in NUMERIC_FEATURES]) ** 2).sum(axis=1))
+            near = sorted(range(len(train)), key=lambda i: (d[i], train[i]["row_key"]))[:3]
+            labels = [train[i]["winner"] for i in near]
+            want[s, q["row_key"]] = max(labels, key=lambda v: (labels.count(v), -labels.index(v)))
+    assert got == want and len(got) > 200
