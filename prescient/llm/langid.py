@@ -2,18 +2,21 @@
 
 Training counts byte trigrams (letters in lower case, other ASCII as a space)
 for each language, hashed to a fixed number of slots. A document is a mixture
-of languages: expectation-maximisation estimates the share of each language
-that makes its trigrams likeliest. Languages beyond the first are kept only if
-they raise the log-likelihood by more than a penalty for each, so the set of a
-document's languages follows from the penalised likelihood.
+of languages and a uniform background, which stands for text in none of them:
+expectation-maximisation estimates the share of each that makes its trigrams
+likeliest. A document is rejected if the learned shares together are below
+LEAST_LEARNED, so one of several learned languages stays. Languages beyond the
+first are kept only if they raise the log-likelihood by more than a penalty for
+each, so the set of a document's languages follows from the penalised likelihood.
 
 The counts of a task are one array for each language; they are summed in two
 rounds of groups keyed by language and slot range, so no group grows with the
 corpus by more than the number of tasks over SALTS. The model that is broadcast
 has languages x SLOTS numbers, languages being at most MOST_LANGUAGES.
 
-Defined results: ``und`` with score 0 for null text, text without a letter, or
-if no language was learned. Rows with null language are not learned from.
+Defined results: ``und`` with score 0 for null text, text without a letter or
+with letters below LEAST_LETTERS of its bytes that are not white space, rejected
+text, or if no language was learned. Rows with null language are not learned from.
 Repeated rows count each time. An empty table gives no rows. Very long texts
 are one document each. Other columns are ignored.
 """
@@ -42,6 +45,10 @@ ROUNDS = 10
 LEAST_SHARE = 0.02
 #: Log-likelihood that each further language must add, per log of the trigrams.
 PENALTY = 2.0
+#: Share of the learned languages together below which a document has none.
+LEAST_LEARNED = 0.6
+#: Share of letters (other scripts: bytes) in what is not white space, at least.
+LEAST_LETTERS = 0.2
 UNKNOWN = "und"
 
 # Working columns of ``predict``.
@@ -113,12 +120,14 @@ def _sum(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 class Model:
-    """Languages in order and the likelihood of each slot in each of them."""
+    """Languages in order and the likelihood of each slot in each of them and, in
+    the last column, in the background."""
 
     def __init__(self, languages: list[str], counts: np.ndarray):
         self.languages = languages
         p = counts.astype(np.float64) + SMOOTHING
-        self.p = (p / p.sum(axis=1, keepdims=True)).T.astype(np.float32).copy()
+        p /= p.sum(axis=1, keepdims=True)
+        self.p = np.vstack([p, np.full((1, SLOTS), 1 / SLOTS)]).T.astype(np.float32).copy()
 
 
 def train(docs: DataFrame) -> Model:
@@ -156,18 +165,23 @@ def _em(p: np.ndarray, n: np.ndarray, first: np.ndarray, row: np.ndarray,
 def infer(model: Model, row: np.ndarray, slot: np.ndarray, n: np.ndarray
           ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, shares over all languages, shares over the chosen set) for the
-    documents that have trigrams."""
+    documents that have trigrams; the last share is the background's."""
     k = len(model.languages)
     first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
     docs = row[first]
     at = np.repeat(np.arange(docs.size), np.diff(first, append=row.size))
     p, n = model.p[slot], n.astype(np.float32)
-    full, _ = _em(p, n, first, at, np.full((docs.size, k), 1 / k, dtype=np.float32), ROUNDS)
-    order = np.argsort(-full, axis=1, kind="stable")
+    start = np.full((docs.size, k + 1), 0.5 / k, dtype=np.float32)
+    start[:, k] = 0.5
+    full, _ = _em(p, n, first, at, start, ROUNDS)
+    order = np.argsort(-full[:, :k], axis=1, kind="stable")
     rank = np.argsort(order, axis=1, kind="stable")
-    chosen = (rank == 0).astype(np.float32)
+    rank = np.hstack([rank, np.full((docs.size, 1), -1)])  # the background is in every set
+    chosen = full * (rank <= 0)
     # Mixed documents: try sets of the 2, 3, ... likeliest languages.
-    many = np.flatnonzero((full >= LEAST_SHARE).sum(axis=1) > 1)
+    large = full >= LEAST_SHARE
+    large[:, k] = False
+    many = np.flatnonzero(large.sum(axis=1) > 1)
     if many.size:
         sub = np.isin(at, many)
         row2 = np.searchsorted(many, at[sub])
@@ -175,18 +189,30 @@ def infer(model: Model, row: np.ndarray, slot: np.ndarray, n: np.ndarray
         p2, n2 = p[sub], n[sub]
         penalty = PENALTY * np.log(np.maximum(np.add.reduceat(n2, first2), 2.0))
         best = np.full(many.size, -np.inf)
-        for size in range(1, int((full[many] >= LEAST_SHARE).sum(axis=1).max()) + 1):
-            inside = (rank[many] < size) & ((full[many] >= LEAST_SHARE) | (rank[many] == 0))
+        for size in range(1, int(large[many].sum(axis=1).max()) + 1):
+            inside = (rank[many] < size) & (large[many] | (rank[many] <= 0))
+            # The background starts anew: what other languages held may be its.
             share = full[many] * inside
+            share[:, k] = np.maximum(share[:, k], LEAST_SHARE)
             share /= share.sum(axis=1, keepdims=True)
-            share, likely = _em(p2, n2, first2, row2, share, 0 if size == 1 else ROUNDS)
-            likely -= penalty * inside.sum(axis=1)
+            share, likely = _em(p2, n2, first2, row2, share, ROUNDS)
+            likely -= penalty * inside[:, :k].sum(axis=1)
             better = likely > best
             best[better] = likely[better]
             chosen[many[better]] = share[better]
     return docs, full, chosen
 
 
+def _few_letters(text: pa.Array) -> np.ndarray:
+    """Whether letters are below LEAST_LETTERS of a text's bytes without white space."""
+    raw, offsets = text_buffer(text)
+
+    def per_text(marked):
+        upto = np.concatenate([[0], np.cumsum(marked, dtype=np.int64)])
+        return upto[offsets[1:]] - upto[offsets[:-1]]
+    return per_text(_FOLD[raw] != 32) < LEAST_LETTERS * per_text(raw > 32)
+
+
 def _predict(model):
     def rows(batches):
         m = model.value
@@ -198,10 +224,11 @@ def _predict(model):
                 row, slot, n = trigrams(b.column(_TEXT))
                 if row.size:
                     docs, full, chosen = infer(m, row, slot, n)
-                    top = chosen.argmax(axis=1)
-                    pred[docs] = top
+                    top = chosen[:, :-1].argmax(axis=1)
+                    pred[docs] = np.where(full[:, :-1].sum(axis=1) < LEAST_LEARNED, -1, top)
                     score[docs] = full[np.arange(docs.size), top]
             pred[~np.asarray(b.column(_LETTER).fill_null(False))] = -1
+            pred[_few_letters(b.column(_TEXT))] = -1
             score[pred < 0] = 0
             names = [*m.languages, UNKNOWN]
             yield pa.RecordBatch.from_arrays(
