@@ -24,8 +24,9 @@ each (coordinate, value) pair:
 * Every candidate is confirmed on the full sets; confirmed links are merged into
   components as they are found.
 
-The signature leaves out a pair of similarity 0.75 with probability 2.5e-4 and
-one of 0.8 with 2e-6; nothing else leaves out a link.
+The signature leaves out a pair of similarity 0.75 with probability 3.9e-6, one
+of 0.77 with 6.9e-7 and one of 0.8 with 3.4e-8 (binomial tails of fewer than MATCHES
+agreements of COORDINATES); nothing else leaves out a link.
 
 Defined results: no text or no word gives an empty set, linked with nothing.
 Fewer than five words are one shingle. A null doc_id is a document without a
@@ -52,7 +53,7 @@ WORDS = 5
 PERCENT = 75
 COORDINATES = 48
 #: Coordinates in which the signatures of a candidate pair agree, at least.
-MATCHES = 26
+MATCHES = 22
 #: Rounds in which a class meets one leader only.
 LEADER_ROUNDS = 2
 #: Classes in a block of the last round.

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from prescient.llm import langid
+from prescient.llm.near_dedup import near_duplicates
 from prescient.session import ready
 
 DOCS = "doc_id long, text string, lang string, source string"
@@ -40,3 +40,14 @@ def test_language_stage_rejects_other_text(spark, tagged):
     clean, planted = tagged
     kept = {r.doc_id for r in corpus_pipeline.language(spark, clean.union(planted), "").collect()}
     assert kept == {*range(60), 103, 104}
+
+
+def test_pairs_at_the_threshold_with_few_agreements(spark):
+    # 42 of 56 shingles are common; the signatures agree in 24 or 25 coordinates.
+    rows = []
+    for n in (3107, 6981, 9562, 9878):
+        words = [f"{n}x{i}" for i in range(60)]
+        rows += [(n, " ".join(words[:53])), (n + 1, " ".join(words[7:]))]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == \
+        {i: n for n in (3107, 6981, 9562, 9878) for i in (n, n + 1)}
