@@ -1,8 +1,10 @@
 """Corpus preparation: documents in, packed training sequences out.
 
 Each stage works on all rows the stage before kept and is one operator of
-``prescient.llm``; all but the last return the columns of ``documents``. Rows
-with the same id share each decision. Columns of any name pass through.
+``prescient.llm``; all but the last return the columns of ``documents``. Where an
+operator decides by row, its decision comes back by a row number that is written
+first, so rows without an id or with a repeated one have their own. Columns of any
+name pass through.
 """
 
 from __future__ import annotations
@@ -26,6 +28,11 @@ def _row(docs: DataFrame):
     return F.struct(*(docs[c] for c in docs.columns)).alias("row")
 
 
+def _numbered(docs: DataFrame, name: str) -> DataFrame:
+    """(number, row) as a written table, so that every later read sees the same numbers."""
+    return written(docs.select(F.monotonically_increasing_id().alias("number"), _row(docs)), name)
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without an identified language (``und``: no text, hardly a
     letter, or text that the learned languages together do not explain). A document
@@ -49,19 +56,21 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates the smallest doc_id stays."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.select(_row(docs), F.col("doc_id").cast("long").alias("id")) \
-        .join(kept, F.col("id").eqNullSafe(F.col("kept_id")), "left_semi").select("row.*")
+    """Of each component of near duplicates one row stays: the smallest doc_id, the
+    rows without an id last."""
+    rows = _numbered(docs, "near-rows")
+    kept = near_duplicates(rows.select("number", "row.doc_id", "row.text"), number="number") \
+        .where("stays").select(F.col("row").alias("number"))
+    return rows.join(kept, "number", "left_semi").select("row.*")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it, so up to three rows."""
-    times = mix(docs.select("doc_id", "text", F.array("source").alias("sources"))) \
-        .where("times > 0").groupBy("doc_id").agg(F.max("times").cast("int").alias("times")) \
-        .withColumnRenamed("doc_id", "taken_id")
-    return docs.select(_row(docs), F.col("doc_id").cast("long").alias("id")) \
-        .join(times, F.col("id").eqNullSafe(F.col("taken_id"))) \
+    """Each row as many times as the mix takes it, so up to three rows."""
+    rows = _numbered(docs, "mixed-rows")
+    times = mix(rows.select("number", "row.doc_id", "row.text",
+                            F.array("row.source").alias("sources")), number="number") \
+        .where("times > 0").select("number", F.col("times").cast("int").alias("times"))
+    return rows.join(times, "number") \
         .select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 
 

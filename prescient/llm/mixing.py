@@ -128,15 +128,18 @@ def min_cost_flow(patterns: list[tuple[tuple[int, ...], int]], quotas: list[int]
 # ------------------------------------------------------------------- the mix
 
 def mix(docs: DataFrame, sources: str = "sources", weights=WEIGHTS, seed: int = 1,
-        repeats: int = MOST_REPEATS) -> DataFrame:
+        repeats: int = MOST_REPEATS, number: str | None = None) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text and an array column of source
     names): doc_id, size (words), source_size and target (each summed over the
-    row's sources), taken (words, repeats counted) and times."""
+    row's sources), taken (words, repeats counted) and times. With ``number``, a
+    column of ``docs``, also that column."""
     spark = docs.sparkSession
     ready(spark)
+    extra = [] if number is None else [number]
     null = F.array(F.lit(None).cast("string"))
     member = F.array_sort(F.array_distinct(F.coalesce(F.col(sources).cast("array<string>"), null)))
     sized = written(docs.select(
+        *extra,
         F.col("doc_id").cast("long").alias("doc_id"),
         F.when(F.size(member) == 0, null).otherwise(member).alias("pattern"),
         F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size"),
@@ -171,7 +174,7 @@ def mix(docs: DataFrame, sources: str = "sources", weights=WEIGHTS, seed: int =
 
     # Seeded order of a pattern's documents: by bucket, then by hash and id.
     at = sized.join(F.broadcast(plan), sized.pattern.eqNullSafe(plan.pattern)) \
-        .select("p", "doc_id", "size", "h", "rounds", "rest", "source_size", "target",
+        .select(*extra, "p", "doc_id", "size", "h", "rounds", "rest", "source_size", "target",
                 F.expr("cast(floor((shiftrightunsigned(h, 1) / 9223372036854775808D) * buckets)"
                        " as long)").alias("bucket"))
     to_draw = at.where("rest > 0 and size > 0")
@@ -206,4 +209,4 @@ def mix(docs: DataFrame, sources: str = "sources", weights=WEIGHTS, seed: int =
     return marked.join(F.broadcast(best), "p", "left") \
         .withColumn("times", F.when(F.col("size") > 0, times).otherwise(F.lit(0).cast("long"))) \
         .select("doc_id", "size", "source_size", "target",
-                (F.col("size") * F.col("times")).alias("taken"), "times")
+                (F.col("size") * F.col("times")).alias("taken"), "times", *extra)

@@ -31,9 +31,9 @@ agreements of COORDINATES); nothing else leaves out a link.
 Defined results: no text or no word gives an empty set, linked with nothing.
 Fewer than five words are one shingle. A null doc_id is a document without a
 name: it joins a component and can connect others, but the component takes the
-smallest id that is not null (null if it has none) and the row is kept only
-then. Rows that repeat an id are documents of their own that share it. An
-empty table gives no rows. Other columns are ignored.
+smallest id that is not null; if it has none, component_id is null and one row
+of it is kept, that of the least digest. Rows that repeat an id are documents of
+their own that share it. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -109,8 +109,6 @@ def digest(shingles: np.ndarray) -> bytes:
 
 
 def _describe(batches):
-    from pyspark import TaskContext
-    row = TaskContext.get().partitionId() << 40
     for b in slices(batches, limit=SLICE_BYTES // 2):
         sets = shingle_sets(b.column("text"))
         size = np.array([x.size for x in sets])
@@ -119,13 +117,12 @@ def _describe(batches):
                                                                              dtype=np.int64)
         ends = np.cumsum((size > 0) * COORDINATES)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(row, row + b.num_rows)), b.column("doc_id"),
+            [b.column("row"), b.column("doc_id"),
              pa.array(size, pa.int64()),
              pa.array([digest(x) for x in sets], pa.binary()),
              pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()),
                                       pa.array(sig.ravel()))],
             names=["row", "doc_id", "n_shingles", "digest", "sig"])
-        row += b.num_rows
 
 
 # -------------------------------------------------------------- full sets of candidates
@@ -286,12 +283,16 @@ def _signature_links(postings: DataFrame, classes: DataFrame, sets: DataFrame, m
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, matches: int = MATCHES,
-                    block: int = BLOCK) -> DataFrame:
+                    block: int = BLOCK, number: str | None = None) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id
-    (smallest doc_id reachable over links), kept, n_class (documents of equal set)."""
+    (smallest doc_id reachable over links), kept, n_class (documents of equal set).
+    With ``number``, a column of distinct whole numbers from 0 that never change, also
+    that number as ``row`` and ``stays``, true for one row of each component."""
     spark = docs.sparkSession
     ready(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    row = F.monotonically_increasing_id() if number is None else F.col(number)
+    texts = docs.select(row.cast("long").alias("row"),
+                        F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = written(texts.mapInArrow(
         _describe, "row long, doc_id long, n_shingles long, digest binary, sig array<long>"),
         "shingled")
@@ -348,8 +349,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, matches: int = MATC
         .join(classes.select("digest", "node", "n_class"), "digest", "left") \
         .join(labels, "node", "left") \
         .withColumn("label", F.coalesce("label", "node", -F.col("row") - 1))
-    first = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    first = named.groupBy("label").agg(F.min(F.struct(
+        F.col("doc_id").isNull(), "doc_id", "digest", "row")).alias("first")) \
+        .select("label", F.col("first.doc_id").alias("component_id"),
+                F.col("first.row").alias("first_row"))
+    stays = F.col("row") == F.col("first_row")
+    extra = [] if number is None else ["row", stays.alias("stays")]
     return named.join(first, "label").select(
         "doc_id", "n_shingles", "component_id",
-        F.expr("doc_id <=> component_id").alias("kept"),
-        F.coalesce("n_class", F.lit(1).cast("long")).alias("n_class"))
+        F.coalesce(F.col("doc_id") == F.col("component_id"), stays).alias("kept"),
+        F.coalesce("n_class", F.lit(1).cast("long")).alias("n_class"), *extra)

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
+from prescient.llm.mixing import mix
 from prescient.llm.near_dedup import near_duplicates
 from prescient.session import ready
 
@@ -51,3 +52,31 @@ def test_pairs_at_the_threshold_with_few_agreements(spark):
     got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: r.component_id for r in got} == \
         {i: n for n in (3107, 6981, 9562, 9878) for i in (n, n + 1)}
+
+
+def test_near_stage_keeps_one_row_of_each_component(spark):
+    ready(spark)
+    words = [f"w{i}" for i in range(400)]
+    near = [" ".join(words[i:200 + i]) for i in range(4)]
+    other = [" ".join(words[i:i + 30]) for i in (240, 290, 350)]
+    rows = [(7, near[0], "en", "a"), (7, near[1], "en", "a"), (None, near[2], "en", "a"),
+            (7, other[0], "en", "a"), (None, other[1], "en", "a"), (None, other[2], "en", "a"),
+            (None, other[2] + " more", "en", "a"), (9, "", "en", "a"), (9, None, "en", "a")]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near(spark, docs, "").collect()]
+    assert sum(t in near for _, t in got) == 1 and (None, near[2]) not in got
+    assert sum(t in (other[2], other[2] + " more") for _, t in got) == 1
+    assert {(7, other[0]), (None, other[1]), (9, ""), (9, None)} <= set(got) and len(got) == 6
+    kept = [r for r in near_duplicates(docs).collect() if r.kept and r.n_shingles > 0]
+    assert sum(r.component_id is None for r in kept) == 2  # one of each nameless component
+
+
+def test_mixed_stage_takes_each_row_its_own_times(spark):
+    ready(spark)
+    rows = [(i if i % 3 else [None, 5][i % 2], f"w{i} " * (1 + i % 7), "en", "abc"[i % 3])
+            for i in range(90)]
+    docs = spark.createDataFrame(rows, DOCS)
+    times = mix(docs.selectExpr("doc_id", "text", "array(source) AS sources")).collect()
+    got = corpus_pipeline.mixed(spark, docs, "").collect()
+    assert len(got) == sum(r.times for r in times)
+    assert sum(len(r.text.split()) for r in got) == sum(r.taken for r in times)
