@@ -4,7 +4,8 @@ A byte-level vocabulary is applied to each pretoken on its own, so a piece of
 text between two pretoken boundaries always has the same ids. Texts are cut
 at a space before a non-space character, where such a vocabulary always has a
 boundary, and each worker remembers the ids of pieces it has met. A tokenizer
-of any other kind gets whole texts.
+of any other kind gets whole texts, and so does a text that holds an added token
+of the file, which the library matches before it looks for boundaries.
 """
 
 from __future__ import annotations
@@ -80,13 +81,13 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.by_piece = _cuts_at_spaces(path)
+        self.added = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.after_space = _AfterSpace(self.tokenizer)
 
     def encode(self, text: str) -> bytes:
         """Ids of one whole text, as bytes."""
-        if not self.by_piece:
+        if not self.by_piece or any(x in text for x in self.added):
             return self._whole(text)
         if text.endswith(" ") or any(x in text for x in _UNSAFE) or (
                 not text.isascii() and any(x in text for x in _UNSAFE_WIDE)):

@@ -6,6 +6,9 @@ import pytest
 import corpus_pipeline
 from prescient.llm.mixing import mix
 from prescient.llm.near_dedup import near_duplicates
+from prescient.llm.packing import pack
+from prescient.llm.token_store import write_store
+from prescient.llm.tokenizer import Encoder, public_path
 from prescient.session import ready
 
 DOCS = "doc_id long, text string, lang string, source string"
@@ -80,3 +83,25 @@ def test_mixed_stage_takes_each_row_its_own_times(spark):
     got = corpus_pipeline.mixed(spark, docs, "").collect()
     assert len(got) == sum(r.times for r in times)
     assert sum(len(r.text.split()) for r in got) == sum(r.taken for r in times)
+
+
+def test_added_tokens_get_the_ids_of_the_file(spark):
+    from tokenizers import Tokenizer
+    path = public_path("byte_bpe_50k.json")
+    plain, enc = Tokenizer.from_file(path), Encoder(path)
+
+    def want(text):
+        return np.array(plain.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    assert 50256 in np.frombuffer(want("end of it <|endoftext|> and on"), dtype="<u4")
+    parts = ["<|endoftext|>", " ", "a", "<|", "word's", "|>", "\n", " <|endoftext|> ", "é"]
+    rng = np.random.default_rng(4)
+    texts = ["end of it <|endoftext|> and on", "<|endoftext|>"]
+    texts += ["".join(rng.choice(parts, int(rng.integers(0, 9)))) for _ in range(300)]
+    assert all(enc.encode(t) == want(t) for t in texts)
+    docs = spark.createDataFrame(list(enumerate(texts[:20])), "doc_id long, text string")
+    end = np.array([2], dtype="<u4").tobytes()
+    assert {r.doc_id: bytes(r.ids) for r in pack(docs, path, 2).collect()} == \
+        {i: want(t) + end for i, t in enumerate(texts[:20])}
+    store = write_store(docs, path, 2, ids_below=50_257)
+    assert {r.doc_id: bytes(r.ids) for r in store.read(store.lookup(docs)).collect()} == \
+        {i: want(t) + end for i, t in enumerate(texts[:20])}
