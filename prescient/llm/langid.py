@@ -12,7 +12,8 @@ each, so the set of a document's languages follows from the penalised likelihood
 The counts of a task are one array for each language; they are summed in two
 rounds of groups keyed by language and slot range, so no group grows with the
 corpus by more than the number of tasks over SALTS. The model that is broadcast
-has languages x SLOTS numbers, languages being at most MOST_LANGUAGES.
+has languages x SLOTS numbers, languages being at most MOST_LANGUAGES; more of them make
+the slices of text smaller. A task sends its counts on whenever it holds FLUSH.
 
 Defined results: ``und`` with score 0 for null text, text without a letter or
 with letters below LEAST_LETTERS of its bytes that are not white space, rejected
@@ -23,6 +24,8 @@ are one document each. Other columns are ignored.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -35,8 +38,10 @@ from prescient.llm.common import SLICE_BYTES, slices, text_buffer
 from prescient.session import ready
 
 SLOTS = 1 << 16
-#: Languages that a model may hold: fixes the size of what is broadcast.
-MOST_LANGUAGES = 128
+#: Languages that a model may hold, from memory: what is broadcast has 0.27 GB then.
+MOST_LANGUAGES = 1024
+#: Languages whose counts a training task holds at a time (0.5 MB each).
+FLUSH = 64
 #: Added to each count.
 SMOOTHING = 0.1
 #: Rounds of expectation-maximisation.
@@ -89,33 +94,46 @@ def trigrams(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 # ------------------------------------------------------------------- training
 
 def _count(batches):
+    from pyspark import TaskContext
+    salt = TaskContext.get().partitionId() % _SALTS
+    width = SLOTS // _RANGES
     sums: dict[str, np.ndarray] = {}
+
+    def flush():
+        for name, counts in sums.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([name] * _RANGES), pa.array(range(_RANGES), pa.int32()),
+                 pa.array([salt] * _RANGES, pa.int32()),
+                 pa.array([zlib.compress(counts[i * width:(i + 1) * width].tobytes(), 1)
+                           for i in range(_RANGES)], pa.binary())],
+                names=["lang", "range", "salt", "counts"])
+        sums.clear()
+
     for b in slices(batches):
         langs = b.column("lang").to_pylist()
         row, slot, n = trigrams(b.column("text"))
-        names = sorted(set(langs))
-        at = np.array([names.index(x) for x in langs], dtype=np.int64)[row]
-        table = np.bincount(at * SLOTS + slot, weights=n, minlength=len(names) * SLOTS)
+        names, at = np.unique(np.array(langs, dtype=object), return_inverse=True)
+        order = np.argsort(at[row], kind="stable")
+        ends = np.searchsorted(at[row][order], np.arange(len(names) + 1))
         for i, name in enumerate(names):
-            part = table[i * SLOTS:(i + 1) * SLOTS].astype(np.int64)
+            if name not in sums and len(sums) >= FLUSH:
+                yield from flush()
+            mine = order[ends[i]:ends[i + 1]]
+            part = np.bincount(slot[mine], weights=n[mine], minlength=SLOTS).astype(np.int64)
             sums[name] = sums[name] + part if name in sums else part
-        if len(sums) > MOST_LANGUAGES:
-            raise ValueError(f"over {MOST_LANGUAGES} languages")
-    from pyspark import TaskContext
-    salt = TaskContext.get().partitionId() % _SALTS
-    width = SLOTS // _RANGES
-    for name, counts in sums.items():
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([name] * _RANGES), pa.array(range(_RANGES), pa.int32()),
-             pa.array([salt] * _RANGES, pa.int32()),
-             pa.array([counts[i * width:(i + 1) * width].tobytes() for i in range(_RANGES)],
-                      pa.binary())], names=["lang", "range", "salt", "counts"])
+    yield from flush()
+
+
+def _numbers(counts: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(counts), dtype=np.int64)
 
 
 def _sum(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = np.sum([np.frombuffer(c, dtype=np.int64) for c in pdf["counts"]], axis=0)
+    total = np.zeros(SLOTS // _RANGES, dtype=np.int64)
+    for c in pdf["counts"]:
+        total += _numbers(c)
     out = pdf.iloc[:1].copy()
-    out["counts"] = [total.tobytes()]
+    out["counts"] = [zlib.compress(total.tobytes(), 1)]
     return out
 
 
@@ -123,11 +141,13 @@ class Model:
     """Languages in order and the likelihood of each slot in each of them and, in
     the last column, in the background."""
 
-    def __init__(self, languages: list[str], counts: np.ndarray):
+    def __init__(self, languages: list[str], counts):
+        """``counts``: the counts of each language's slots, in order."""
         self.languages = languages
-        p = counts.astype(np.float64) + SMOOTHING
-        p /= p.sum(axis=1, keepdims=True)
-        self.p = np.vstack([p, np.full((1, SLOTS), 1 / SLOTS)]).T.astype(np.float32).copy()
+        self.p = np.full((SLOTS, len(languages) + 1), 1 / SLOTS, dtype=np.float32)
+        for i, c in enumerate(counts):
+            p = c.astype(np.float64) + SMOOTHING
+            self.p[:, i] = p / p.sum()
 
 
 def train(docs: DataFrame) -> Model:
@@ -143,9 +163,8 @@ def train(docs: DataFrame) -> Model:
     languages = sorted({k for k, _ in parts})
     if len(languages) > MOST_LANGUAGES:
         raise ValueError(f"over {MOST_LANGUAGES} languages")
-    counts = np.array([np.frombuffer(b"".join(parts[k, i] for i in range(_RANGES)),
-                                     dtype=np.int64) for k in languages])
-    return Model(languages, counts.reshape(len(languages), SLOTS))
+    return Model(languages, (np.concatenate([_numbers(parts[k, i]) for i in range(_RANGES)])
+                             for k in languages))
 
 
 # ------------------------------------------------------------------ inference
@@ -216,7 +235,7 @@ def _few_letters(text: pa.Array) -> np.ndarray:
 def _predict(model):
     def rows(batches):
         m = model.value
-        for b in slices(batches, _TEXT, SLICE_BYTES // 2):
+        for b in slices(batches, _TEXT, SLICE_BYTES // 2 // max(1, len(m.languages) // 16)):
             size = b.num_rows
             pred = np.full(size, -1)
             score = np.zeros(size)

@@ -30,7 +30,7 @@ from __future__ import annotations
 import heapq
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from prescient.llm.common import WORD_PATTERN, written
@@ -40,8 +40,9 @@ from prescient.session import ready
 MOST_REPEATS = 3
 #: Weights of the sources in order, repeated.
 WEIGHTS = (1.0, 2.0, 3.0)
-#: Membership patterns that the flow is solved for; their number follows the
-#: sources, not the documents. More is an error.
+#: Membership patterns that the flow is solved for: those that share a source with
+#: a pattern of several sources. More of them is an error. Other sources stand alone
+#: and are dealt in closed form, whatever their number.
 MOST_PATTERNS = 50_000
 
 
@@ -145,10 +146,11 @@ def mix(docs: DataFrame, sources: str = "sources", weights=WEIGHTS, seed: int =
         F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size"),
         F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text")).alias("h")), "mix-sizes")
 
-    found = sized.groupBy("pattern").agg(F.sum("size").alias("size"), F.count("*").alias("n")) \
-        .limit(MOST_PATTERNS + 1).collect()
-    if len(found) > MOST_PATTERNS:
-        raise ValueError(f"over {MOST_PATTERNS} membership patterns")
+    counted = sized.groupBy("pattern").agg(F.sum("size").alias("size"), F.count("*").alias("n")) \
+        .toArrow()
+    found = [Row(pattern=p, size=z, n=n) for p, z, n in
+             zip(*(counted[c].to_pylist() for c in ("pattern", "size", "n")), strict=True)]
+    small = F.broadcast if len(found) <= MOST_PATTERNS else lambda df: df
     found.sort(key=lambda r: [(s is None, s or "") for s in r.pattern])
     names = sorted({s for r in found for s in r.pattern}, key=lambda s: (s is None, s or ""))
     number = {s: i for i, s in enumerate(names)}
@@ -158,11 +160,20 @@ def mix(docs: DataFrame, sources: str = "sources", weights=WEIGHTS, seed: int =
             sizes[number[s]] += r.size
     total = sum(r.size for r in found)
     targets = shares(sizes, [weights[i % len(weights)] for i in range(len(names))], total, repeats)
-    flow = min_cost_flow([(tuple(number[s] for s in r.pattern), r.size) for r in found],
-                         [math.floor(t) for t in targets], repeats)
-    taken = [0] * len(found)
-    for (p, _), words in flow.items():
-        taken[p] += words
+    # A source that no pattern of several holds has one pattern, which fills its target.
+    linked = {number[s]: i for i, s in enumerate(sorted(
+        {s for r in found if len(r.pattern) > 1 for s in r.pattern},
+        key=lambda s: (s is None, s or "")))}
+    taken = [min(math.floor(targets[number[r.pattern[0]]]), repeats * r.size) for r in found]
+    tied = [p for p, r in enumerate(found) if number[r.pattern[0]] in linked]
+    if len(tied) > MOST_PATTERNS:
+        raise ValueError(f"over {MOST_PATTERNS} membership patterns that share sources")
+    flow = min_cost_flow([(tuple(linked[number[s]] for s in found[p].pattern), found[p].size)
+                          for p in tied], [math.floor(targets[s]) for s in linked], repeats)
+    for p in tied:
+        taken[p] = 0
+    for (i, _), words in flow.items():
+        taken[tied[i]] += words
     plan = [(p, list(r.pattern), r.size, taken[p] // r.size if r.size else 0,
              taken[p] % r.size if r.size else 0,
              sum(sizes[number[s]] for s in r.pattern),
@@ -173,7 +184,7 @@ def mix(docs: DataFrame, sources: str = "sources", weights=WEIGHTS, seed: int =
               "source_size long, target double, buckets long")
 
     # Seeded order of a pattern's documents: by bucket, then by hash and id.
-    at = sized.join(F.broadcast(plan), sized.pattern.eqNullSafe(plan.pattern)) \
+    at = sized.join(small(plan), sized.pattern.eqNullSafe(plan.pattern)) \
         .select(*extra, "p", "doc_id", "size", "h", "rounds", "rest", "source_size", "target",
                 F.expr("cast(floor((shiftrightunsigned(h, 1) / 9223372036854775808D) * buckets)"
                        " as long)").alias("bucket"))
@@ -185,7 +196,7 @@ def mix(docs: DataFrame, sources: str = "sources", weights=WEIGHTS, seed: int =
     edge = sums.where("before < rest and before + s >= rest").select(
         "p", F.col("bucket").alias("edge"), "before")
     inside = Window.partitionBy("p", "bucket").orderBy("o")
-    last = to_draw.join(F.broadcast(edge), "p").where("bucket = edge") \
+    last = to_draw.join(small(edge), "p").where("bucket = edge") \
         .withColumn("o", F.struct("h", F.coalesce("doc_id", F.lit(-1)))) \
         .withColumn("upto", F.col("before") + F.sum("size").over(inside))
     cut = last.where("upto <= rest").groupBy("p").agg(F.max("upto").alias("upto"),
@@ -195,7 +206,7 @@ def mix(docs: DataFrame, sources: str = "sources", weights=WEIGHTS, seed: int =
     cut = written(cut, "mix-cut")  # a row for each pattern
     drawn = F.expr("coalesce(rest > 0 and size > 0 and (bucket < edge or (bucket = edge and "
                    "struct(h, coalesce(doc_id, -1)) <= cut)), false)")
-    marked = at.join(F.broadcast(cut), "p", "left").withColumn("drawn", drawn)
+    marked = at.join(small(cut), "p", "left").withColumn("drawn", drawn)
     # One more document closes the gap if that brings the sum nearer.
     gap = F.col("rest") - F.col("upto")
     best = marked.where(~F.col("drawn") & (F.col("size") > 0) & (gap > 0)
@@ -206,7 +217,7 @@ def mix(docs: DataFrame, sources: str = "sources", weights=WEIGHTS, seed: int =
     times = F.col("rounds") + (F.col("drawn") | F.coalesce(
         (F.col("h") == F.col("best_h")) & (F.coalesce("doc_id", F.lit(-1)) == F.col("best_d")),
         F.lit(False))).cast("long")
-    return marked.join(F.broadcast(best), "p", "left") \
+    return marked.join(small(best), "p", "left") \
         .withColumn("times", F.when(F.col("size") > 0, times).otherwise(F.lit(0).cast("long"))) \
         .select("doc_id", "size", "source_size", "target",
                 (F.col("size") * F.col("times")).alias("taken"), "times", *extra)

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
+from prescient.llm import langid, mixing
 from prescient.llm.mixing import mix
 from prescient.llm.near_dedup import near_duplicates
 from prescient.llm.packing import pack
@@ -105,3 +106,25 @@ def test_added_tokens_get_the_ids_of_the_file(spark):
     store = write_store(docs, path, 2, ids_below=50_257)
     assert {r.doc_id: bytes(r.ids) for r in store.read(store.lookup(docs)).collect()} == \
         {i: want(t) + end for i, t in enumerate(texts[:20])}
+
+
+def test_more_languages_than_taggers_have(spark):
+    from pyspark.sql import functions as F
+    ready(spark)
+    rows = [(i, letters(20, i), f"l{i}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)
+    model = langid.train(docs)
+    assert len(model.languages) == 200
+    got = langid.predict(docs, model, F.col("lang")).collect()
+    assert all(r.lang_pred == r.lang for r in got)
+
+
+def test_more_sources_than_the_flow_takes(spark, monkeypatch):
+    ready(spark)
+    docs = spark.createDataFrame(
+        [(i, "w " * (1 + i % 5), [f"s{i // 2:03}"]) for i in range(100)]
+        + [(200, "w w", ["a", "b"]), (201, "w w w", ["a"])],
+        "doc_id long, text string, sources array<string>")
+    whole = sorted(map(tuple, mix(docs).collect()))
+    monkeypatch.setattr(mixing, "MOST_PATTERNS", 2)  # 52 patterns, two with shared sources
+    assert sorted(map(tuple, mix(docs).collect())) == whole
