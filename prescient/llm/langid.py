@@ -232,6 +232,18 @@ def _few_letters(text: pa.Array) -> np.ndarray:
     return per_text(_FOLD[raw] != 32) < LEAST_LETTERS * per_text(raw > 32)
 
 
+def _sets(languages: list[str], shares: np.ndarray) -> pa.Array:
+    """Each row's languages of some share, the largest share first."""
+    row, lang = np.nonzero(shares)
+    share = np.clip(shares[row, lang], 0.0, 1.0)
+    order = np.lexsort((lang, -share, row))
+    ends = np.concatenate([[0], np.cumsum((shares != 0).sum(axis=1))])
+    items = pa.StructArray.from_arrays(
+        [pa.array([languages[i] for i in lang[order]], pa.string()), pa.array(share[order])],
+        names=["lang", "share"])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items)
+
+
 def _predict(model):
     def rows(batches):
         m = model.value
@@ -239,6 +251,7 @@ def _predict(model):
             size = b.num_rows
             pred = np.full(size, -1)
             score = np.zeros(size)
+            shares = np.zeros((size, len(m.languages)))
             if m.languages:
                 row, slot, n = trigrams(b.column(_TEXT))
                 if row.size:
@@ -246,22 +259,25 @@ def _predict(model):
                     top = chosen[:, :-1].argmax(axis=1)
                     pred[docs] = np.where(full[:, :-1].sum(axis=1) < LEAST_LEARNED, -1, top)
                     score[docs] = full[np.arange(docs.size), top]
+                    shares[docs] = chosen[:, :-1]
             pred[~np.asarray(b.column(_LETTER).fill_null(False))] = -1
             pred[_few_letters(b.column(_TEXT))] = -1
             score[pred < 0] = 0
+            shares[pred < 0] = 0
             names = [*m.languages, UNKNOWN]
             yield pa.RecordBatch.from_arrays(
                 [*(b.column(c) for c in b.schema.names if c not in (_TEXT, _LETTER)),
                  pa.array([names[i] for i in pred], pa.string()),
-                 pa.array(np.clip(score, 0.0, 1.0))],
+                 pa.array(np.clip(score, 0.0, 1.0)), _sets(m.languages, shares)],
                 names=[*(c for c in b.schema.names if c not in (_TEXT, _LETTER)),
-                       "lang_pred", "score"])
+                       "lang_pred", "score", "languages"])
     return rows
 
 
 def predict(docs: DataFrame, model: Model, *keep: Column) -> DataFrame:
-    """The ``keep`` columns of ``docs`` (text) with lang_pred and score, the
-    estimated share of that language in the text."""
+    """The ``keep`` columns of ``docs`` (text) with lang_pred, score, the estimated
+    share of that language in the text, and languages, the chosen set with the share
+    of each (what is left is the background's; empty if ``und``)."""
     spark = docs.sparkSession
     kept = docs.select(*keep)
     sent = spark.sparkContext.broadcast(model)
@@ -269,4 +285,6 @@ def predict(docs: DataFrame, model: Model, *keep: Column) -> DataFrame:
                        F.col("text").rlike(r"\p{L}").alias(_LETTER)) \
         .mapInArrow(_predict(sent), T.StructType(
             [*kept.schema.fields, T.StructField("lang_pred", T.StringType()),
-             T.StructField("score", T.DoubleType())]))
+             T.StructField("score", T.DoubleType()),
+             T.StructField("languages", T.ArrayType(T.StructType(
+                 [T.StructField("lang", T.StringType()), T.StructField("share", T.DoubleType())])))]))

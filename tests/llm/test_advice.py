@@ -128,3 +128,14 @@ def test_more_sources_than_the_flow_takes(spark, monkeypatch):
     whole = sorted(map(tuple, mix(docs).collect()))
     monkeypatch.setattr(mixing, "MOST_PATTERNS", 2)  # 52 patterns, two with shared sources
     assert sorted(map(tuple, mix(docs).collect())) == whole
+
+
+def test_sets_of_languages(spark, tagged):
+    from pyspark.sql import functions as F
+    clean, planted = tagged
+    got = {r.doc_id: r for r in
+           langid.predict(planted, langid.train(clean), F.col("doc_id")).collect()}
+    both = {x.lang: x.share for x in got[103].languages}
+    assert set(both) == {"en", "de"} and all(0.3 < v < 0.7 for v in both.values())
+    assert [x.lang for x in got[104].languages] == ["de"]
+    assert got[100].languages == [] and got[100].lang_pred == "und"
