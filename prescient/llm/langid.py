@@ -4,9 +4,9 @@ Training counts byte trigrams (letters in lower case, other ASCII as a space)
 for each language, hashed to a fixed number of slots. A document is a mixture
 of languages and a uniform background, which stands for text in none of them:
 expectation-maximisation estimates the share of each that makes its trigrams
-likeliest. A document is rejected if the learned shares together are below
-LEAST_LEARNED, so one of several learned languages stays. Languages beyond the
-first are kept only if they raise the log-likelihood by more than a penalty for
+likeliest. The predicted language is the likeliest learned one. A document is marked
+rejected if the learned shares together are below LEAST_LEARNED, so one of several
+learned languages is not. Languages beyond the first are kept only if they raise the log-likelihood by more than a penalty for
 each, so the set of a document's languages follows from the penalised likelihood.
 
 The counts of a task are one array for each language; they are summed in two
@@ -15,9 +15,11 @@ corpus by more than the number of tasks over SALTS. The model that is broadcast
 has languages x SLOTS numbers, languages being at most MOST_LANGUAGES; more of them make
 the slices of text smaller. A task sends its counts on whenever it holds FLUSH.
 
-Defined results: ``und`` with score 0 for null text, text without a letter or
-with letters below LEAST_LETTERS of its bytes that are not white space, rejected
-text, or if no language was learned. Rows with null language are not learned from.
+Defined results: ``und`` with score 0 for null text and text without a letter, or if
+no language was learned; any other text has a learned language. Rejected is ``und``,
+text that the learned languages do not explain, and text with letters below
+LEAST_LETTERS of its bytes that are not white space. Rows with null language are not
+learned from.
 Repeated rows count each time. An empty table gives no rows. Very long texts
 are one document each. Other columns are ignored.
 """
@@ -50,9 +52,10 @@ ROUNDS = 10
 LEAST_SHARE = 0.02
 #: Log-likelihood that each further language must add, per log of the trigrams.
 PENALTY = 2.0
-#: Share of the learned languages together below which a document has none.
+#: Share of the learned languages together below which a document is rejected.
 LEAST_LEARNED = 0.6
-#: Share of letters (other scripts: bytes) in what is not white space, at least.
+#: Share of letters (other scripts: bytes) in what is not white space below which a
+#: document is rejected.
 LEAST_LETTERS = 0.2
 UNKNOWN = "und"
 
@@ -252,32 +255,35 @@ def _predict(model):
             pred = np.full(size, -1)
             score = np.zeros(size)
             shares = np.zeros((size, len(m.languages)))
+            rejected = np.ones(size, dtype=bool)
             if m.languages:
                 row, slot, n = trigrams(b.column(_TEXT))
                 if row.size:
                     docs, full, chosen = infer(m, row, slot, n)
                     top = chosen[:, :-1].argmax(axis=1)
-                    pred[docs] = np.where(full[:, :-1].sum(axis=1) < LEAST_LEARNED, -1, top)
+                    pred[docs] = top
+                    rejected[docs] = full[:, :-1].sum(axis=1) < LEAST_LEARNED
                     score[docs] = full[np.arange(docs.size), top]
                     shares[docs] = chosen[:, :-1]
             pred[~np.asarray(b.column(_LETTER).fill_null(False))] = -1
-            pred[_few_letters(b.column(_TEXT))] = -1
+            rejected |= _few_letters(b.column(_TEXT)) | (pred < 0)
             score[pred < 0] = 0
             shares[pred < 0] = 0
             names = [*m.languages, UNKNOWN]
             yield pa.RecordBatch.from_arrays(
                 [*(b.column(c) for c in b.schema.names if c not in (_TEXT, _LETTER)),
                  pa.array([names[i] for i in pred], pa.string()),
-                 pa.array(np.clip(score, 0.0, 1.0)), _sets(m.languages, shares)],
+                 pa.array(np.clip(score, 0.0, 1.0)), _sets(m.languages, shares),
+                 pa.array(rejected)],
                 names=[*(c for c in b.schema.names if c not in (_TEXT, _LETTER)),
-                       "lang_pred", "score", "languages"])
+                       "lang_pred", "score", "languages", "rejected"])
     return rows
 
 
 def predict(docs: DataFrame, model: Model, *keep: Column) -> DataFrame:
     """The ``keep`` columns of ``docs`` (text) with lang_pred, score, the estimated
-    share of that language in the text, and languages, the chosen set with the share
-    of each (what is left is the background's; empty if ``und``)."""
+    share of that language in the text, languages, the chosen set with the share of
+    each (what is left is the background's; empty if ``und``), and rejected."""
     spark = docs.sparkSession
     kept = docs.select(*keep)
     sent = spark.sparkContext.broadcast(model)
@@ -287,4 +293,5 @@ def predict(docs: DataFrame, model: Model, *keep: Column) -> DataFrame:
             [*kept.schema.fields, T.StructField("lang_pred", T.StringType()),
              T.StructField("score", T.DoubleType()),
              T.StructField("languages", T.ArrayType(T.StructType(
-                 [T.StructField("lang", T.StringType()), T.StructField("share", T.DoubleType())])))]))
+                 [T.StructField("lang", T.StringType()), T.StructField("share", T.DoubleType())]))),
+             T.StructField("rejected", T.BooleanType())]))
