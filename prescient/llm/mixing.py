@@ -16,18 +16,19 @@ document, the one that fits the remaining gap best, closes it.
 
 Only counts by pattern and by (pattern, hash bucket) are gathered, never
 documents. A pattern of n documents has about sqrt(n) buckets; the cumulative
-sum runs over the buckets and then inside the single bucket where the rest
-runs out, so no task sorts a large source.
+sum runs over the buckets, then over the (hash, id, scan partition) groups of the
+single bucket where the rest runs out, then over the rows of the one group, so no
+task sorts a large source, nor all copies of one row.
 
 Defined results: null or empty text has size 0 and is never taken. A null
 source is a source of its own, after the others; an empty membership array is
-the null source. Rows that repeat an id and text are taken or left together.
+the null source. Of rows that repeat an id and text as many are taken as the rest
+allows (which of them makes no difference to the result).
 An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 
 from pyspark.sql import DataFrame, Row, Window
@@ -40,9 +41,10 @@ from prescient.session import ready
 MOST_REPEATS = 3
 #: Weights of the sources in order, repeated.
 WEIGHTS = (1.0, 2.0, 3.0)
-#: Membership patterns that the flow is solved for: those that share a source with
-#: a pattern of several sources. More of them is an error. Other sources stand alone
-#: and are dealt in closed form, whatever their number.
+#: Membership patterns up to which all go through the flow and the plan is broadcast
+#: (some 0.2 KB a pattern; the driver holds some 1 KB). Beyond it only the patterns
+#: that share a source with a pattern of several do; a source that stands alone has
+#: one pattern and its flow in closed form, to the same result.
 MOST_PATTERNS = 50_000
 
 
@@ -73,57 +75,94 @@ def shares(sizes: list[int], weights: list[float], total: float,
 def min_cost_flow(patterns: list[tuple[tuple[int, ...], int]], quotas: list[int],
                   repeats: int = MOST_REPEATS) -> dict[tuple[int, int], int]:
     """Words of each (pattern number, source number) in the cheapest largest flow.
-    ``patterns``: (sources, words). Successive shortest paths with potentials."""
+    ``patterns``: (sources, words).
+
+    Costs lie on the edges from the start alone and grow with the repetition, so the
+    cheapest largest flow is found repetition by repetition: the r-th adds each
+    pattern's words once more and the flow so far is augmented to a largest one, in
+    rounds of shortest paths (breadth first) and a blocking flow over them.
+    """
     n_p, n_s = len(patterns), len(quotas)
-    end = 1 + n_p + n_s
-    edges: list[list[int]] = []  # to, capacity, cost; the reverse edge is at index ^ 1
-    out: list[list[int]] = [[] for _ in range(end + 1)]
-
-    def edge(a, b, capacity, cost):
-        out[a].append(len(edges))
-        edges.append([b, capacity, cost])
-        out[b].append(len(edges))
-        edges.append([a, 0, -cost])
-
-    infinite = sum(quotas) + 1
-    route = {}
-    for p, (sources, words) in enumerate(patterns):
-        for r in range(repeats):
-            edge(0, 1 + p, words, r)
+    pattern_of, source_of = [], []  # of each edge
+    of_pattern: list[list[int]] = [[] for _ in range(n_p)]
+    of_source: list[list[int]] = [[] for _ in range(n_s)]
+    for p, (sources, _) in enumerate(patterns):
         for s in sources:
-            route[p, s] = len(edges)
-            edge(1 + p, 1 + n_p + s, infinite, 0)
-    for s, q in enumerate(quotas):
-        edge(1 + n_p + s, end, q, 0)
-
-    potential = [0] * (end + 1)
-    while True:
-        far = [math.inf] * (end + 1)
-        came = [-1] * (end + 1)
-        far[0], heap = 0, [(0, 0)]
-        while heap:
-            d, a = heapq.heappop(heap)
-            if d > far[a]:
-                continue
-            for e in out[a]:
-                b, capacity, cost = edges[e]
-                if capacity > 0 and (x := d + cost + potential[a] - potential[b]) < far[b]:
-                    far[b], came[b] = x, e
-                    heapq.heappush(heap, (x, b))
-        if far[end] == math.inf:
-            break
-        for a in range(end + 1):
-            potential[a] += far[a] if far[a] < math.inf else far[end]
-        push, a = math.inf, end
-        while a:
-            push = min(push, edges[came[a]][1])
-            a = edges[came[a] ^ 1][0]
-        a = end
-        while a:
-            edges[came[a]][1] -= push
-            edges[came[a] ^ 1][1] += push
-            a = edges[came[a] ^ 1][0]
-    return {k: edges[e ^ 1][1] for k, e in route.items() if edges[e ^ 1][1]}
+            of_pattern[p].append(len(pattern_of))
+            of_source[s].append(len(pattern_of))
+            pattern_of.append(p)
+            source_of.append(s)
+    flow = [0] * len(pattern_of)
+    left, room = [0] * n_p, list(quotas)
+
+    def levels():
+        """Distances of patterns and sources from the patterns with words left, as far
+        as the nearest source with room; None if there is none."""
+        of_p = [0 if x > 0 else -1 for x in left]
+        of_s = [-1] * n_s
+        front = [p for p in range(n_p) if left[p] > 0]
+        while front:
+            reached = []
+            for p in front:
+                for e in of_pattern[p]:
+                    s = source_of[e]
+                    if of_s[s] < 0:
+                        of_s[s] = of_p[p] + 1
+                        reached.append(s)
+            if any(room[s] > 0 for s in reached):
+                return of_p, of_s
+            front = []
+            for s in reached:
+                for e in of_source[s]:
+                    if flow[e] > 0 and of_p[pattern_of[e]] < 0:
+                        of_p[pattern_of[e]] = of_s[s] + 1
+                        front.append(pattern_of[e])
+        return None
+
+    def block(of_p, of_s):
+        """Send along shortest paths until each is cut; edges are tried once."""
+        next_p, next_s = [0] * n_p, [0] * n_s
+        for start in [p for p in range(n_p) if left[p] > 0]:
+            path: list[int] = []  # edges, to a source and back to a pattern in turn
+            while left[start] > 0:
+                if len(path) % 2 == 0:
+                    p = pattern_of[path[-1]] if path else start
+                    edges, at = of_pattern[p], next_p[p]
+                    while at < len(edges) and of_s[source_of[edges[at]]] != of_p[p] + 1:
+                        at += 1
+                    next_p[p] = at
+                    if at < len(edges):
+                        path.append(edges[at])
+                        continue
+                    if not path:
+                        break
+                    next_s[source_of[path.pop()]] += 1  # no way on from this pattern
+                    continue
+                s = source_of[path[-1]]
+                if room[s] > 0:
+                    push = min([left[start], room[s], *(flow[e] for e in path[1::2])])
+                    left[start] -= push
+                    room[s] -= push
+                    for i, e in enumerate(path):
+                        flow[e] += -push if i % 2 else push
+                    path = []
+                    continue
+                edges, at = of_source[s], next_s[s]
+                while at < len(edges) and not (flow[edges[at]] > 0
+                                               and of_p[pattern_of[edges[at]]] == of_s[s] + 1):
+                    at += 1
+                next_s[s] = at
+                if at < len(edges):
+                    path.append(edges[at])
+                else:
+                    next_p[pattern_of[path.pop()]] += 1
+
+    for _ in range(repeats):
+        for p, (_, words) in enumerate(patterns):
+            left[p] += words
+        while (found := levels()) is not None:
+            block(*found)
+    return {(p, s): x for p, s, x in zip(pattern_of, source_of, flow, strict=True) if x}
 
 
 # ------------------------------------------------------------------- the mix
@@ -141,6 +180,7 @@ def mix(docs: DataFrame, sources: str = "sources", weights=WEIGHTS, seed: int =
     member = F.array_sort(F.array_distinct(F.coalesce(F.col(sources).cast("array<string>"), null)))
     sized = written(docs.select(
         *extra,
+        F.monotonically_increasing_id().alias("row"),
         F.col("doc_id").cast("long").alias("doc_id"),
         F.when(F.size(member) == 0, null).otherwise(member).alias("pattern"),
         F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size"),
@@ -160,18 +200,16 @@ def mix(docs: DataFrame, sources: str = "sources", weights=WEIGHTS, seed: int =
             sizes[number[s]] += r.size
     total = sum(r.size for r in found)
     targets = shares(sizes, [weights[i % len(weights)] for i in range(len(names))], total, repeats)
-    # A source that no pattern of several holds has one pattern, which fills its target.
-    linked = {number[s]: i for i, s in enumerate(sorted(
-        {s for r in found if len(r.pattern) > 1 for s in r.pattern},
-        key=lambda s: (s is None, s or "")))}
-    taken = [min(math.floor(targets[number[r.pattern[0]]]), repeats * r.size) for r in found]
-    tied = [p for p, r in enumerate(found) if number[r.pattern[0]] in linked]
-    if len(tied) > MOST_PATTERNS:
-        raise ValueError(f"over {MOST_PATTERNS} membership patterns that share sources")
-    flow = min_cost_flow([(tuple(linked[number[s]] for s in found[p].pattern), found[p].size)
-                          for p in tied], [math.floor(targets[s]) for s in linked], repeats)
-    for p in tied:
-        taken[p] = 0
+    tied = range(len(found))
+    taken = [0] * len(found)
+    if len(found) > MOST_PATTERNS:
+        linked = {s for r in found if len(r.pattern) > 1 for s in r.pattern}
+        tied = [p for p, r in enumerate(found) if r.pattern[0] in linked]
+        taken = [min(math.floor(targets[number[r.pattern[0]]]), repeats * r.size) for r in found]
+        for p in tied:
+            taken[p] = 0
+    flow = min_cost_flow([(tuple(number[s] for s in found[p].pattern), found[p].size) for p in tied],
+                         [math.floor(t) for t in targets], repeats)
     for (i, _), words in flow.items():
         taken[tied[i]] += words
     plan = [(p, list(r.pattern), r.size, taken[p] // r.size if r.size else 0,
@@ -183,40 +221,48 @@ def mix(docs: DataFrame, sources: str = "sources", weights=WEIGHTS, seed: int =
         plan, "p int, pattern array<string>, pattern_size long, rounds long, rest long, "
               "source_size long, target double, buckets long")
 
-    # Seeded order of a pattern's documents: by bucket, then by hash and id.
+    # Seeded order of a pattern's documents: by bucket, then by hash, id, scan partition
+    # (upper bits of the row number) and row.
     at = sized.join(small(plan), sized.pattern.eqNullSafe(plan.pattern)) \
-        .select(*extra, "p", "doc_id", "size", "h", "rounds", "rest", "source_size", "target",
+        .select(*extra, "p", "doc_id", "size", "h", "rounds", "rest", "source_size", "target", "row",
                 F.expr("cast(floor((shiftrightunsigned(h, 1) / 9223372036854775808D) * buckets)"
-                       " as long)").alias("bucket"))
+                       " as long)").alias("bucket"),
+                F.struct("h", F.coalesce("doc_id", F.lit(-1)).alias("d"),
+                         F.shiftright("row", 33).alias("part")).alias("g"))
     to_draw = at.where("rest > 0 and size > 0")
     sums = to_draw.groupBy("p", "bucket", "rest").agg(F.sum("size").alias("s"))
-    w = Window.partitionBy("p").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("before", F.coalesce(F.sum("s").over(w), F.lit(0)))
-    # The one bucket of each pattern where the rest runs out.
-    edge = sums.where("before < rest and before + s >= rest").select(
-        "p", F.col("bucket").alias("edge"), "before")
-    inside = Window.partitionBy("p", "bucket").orderBy("o")
-    last = to_draw.join(small(edge), "p").where("bucket = edge") \
-        .withColumn("o", F.struct("h", F.coalesce("doc_id", F.lit(-1)))) \
-        .withColumn("upto", F.col("before") + F.sum("size").over(inside))
-    cut = last.where("upto <= rest").groupBy("p").agg(F.max("upto").alias("upto"),
-                                                      F.max("o").alias("o"))
-    cut = edge.join(cut, "p", "left").select(
-        "p", "edge", F.coalesce("upto", "before").alias("upto"), F.col("o").alias("cut"))
-    cut = written(cut, "mix-cut")  # a row for each pattern
+
+    def where_rest_runs_out(sums, *order):
+        w = Window.partitionBy("p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return sums.withColumn("upto", F.col("before") + F.coalesce(F.sum("s").over(w), F.lit(0))) \
+            .where("upto < rest and upto + s >= rest")
+
+    edge = where_rest_runs_out(sums.withColumn("before", F.lit(0).cast("long")), "bucket") \
+        .select("p", F.col("bucket").alias("edge"), F.col("upto").alias("before"))
+    near = written(to_draw.join(small(edge), "p").where("bucket = edge")
+                   .select("p", "edge", "before", "rest", "g", "row", "size"), "mix-edge")
+    groups = near.groupBy("p", "edge", "before", "rest", "g").agg(F.sum("size").alias("s"))
+    group = where_rest_runs_out(groups, "g").select("p", "edge", F.col("g").alias("edge_g"),
+                                                    F.col("upto").alias("before"))
+    inside = Window.partitionBy("p").orderBy("row")
+    last = near.drop("edge", "before").join(small(group), "p").where("g = edge_g") \
+        .withColumn("upto", F.col("before") + F.sum("size").over(inside)) \
+        .where("upto <= rest").groupBy("p").agg(F.max("upto").alias("upto"), F.max("row").alias("cut"))
+    cut = written(group.join(last, "p", "left").select(
+        "p", "edge", "edge_g", F.coalesce("upto", "before").alias("upto"),
+        F.coalesce("cut", F.lit(-1).cast("long")).alias("cut")), "mix-cut")  # a row a pattern
     drawn = F.expr("coalesce(rest > 0 and size > 0 and (bucket < edge or (bucket = edge and "
-                   "struct(h, coalesce(doc_id, -1)) <= cut)), false)")
+                   "(g < edge_g or (g = edge_g and row <= cut)))), false)")
     marked = at.join(small(cut), "p", "left").withColumn("drawn", drawn)
     # One more document closes the gap if that brings the sum nearer.
     gap = F.col("rest") - F.col("upto")
     best = marked.where(~F.col("drawn") & (F.col("size") > 0) & (gap > 0)
                         & (F.col("size") < 2 * gap)) \
-        .groupBy("p").agg(F.min(F.struct(F.abs(F.col("size") - gap).alias("miss"), "h",
-                                         F.coalesce("doc_id", F.lit(-1)).alias("d"))).alias("b"))
-    best = best.select("p", F.col("b.h").alias("best_h"), F.col("b.d").alias("best_d"))
-    times = F.col("rounds") + (F.col("drawn") | F.coalesce(
-        (F.col("h") == F.col("best_h")) & (F.coalesce("doc_id", F.lit(-1)) == F.col("best_d")),
-        F.lit(False))).cast("long")
+        .groupBy("p").agg(F.min(F.struct(F.abs(F.col("size") - gap).alias("miss"), "g", "row"))
+                          .alias("b")) \
+        .select("p", F.col("b.row").alias("best"))
+    times = F.col("rounds") + (F.col("drawn") | F.coalesce(F.col("row") == F.col("best"),
+                                                           F.lit(False))).cast("long")
     return marked.join(small(best), "p", "left") \
         .withColumn("times", F.when(F.col("size") > 0, times).otherwise(F.lit(0).cast("long"))) \
         .select("doc_id", "size", "source_size", "target",
