@@ -34,13 +34,13 @@ def _numbered(docs: DataFrame, name: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without an identified language (``und``: no text, hardly a
-    letter, or text that the learned languages together do not explain). A document
-    of several languages stays. Learns from four fifths of the rows."""
+    """Drop documents that identification rejects (no text, hardly a letter, or text
+    that the learned languages together do not explain). A document of several
+    languages stays. Learns from four fifths of the rows."""
     ready(spark)
     model = langid.train(docs.where(crc_bucket(F.col("doc_id"), 5) != 0))
     return langid.predict(docs, model, _row(docs)) \
-        .where(F.col("lang_pred") != langid.UNKNOWN) \
+        .where(~F.col("rejected")) \
         .select("row.*")
 
 
