@@ -21,8 +21,3 @@ def md5_bucket(salt, key) -> Column:
     key_c = key if isinstance(key, Column) else F.col(key)
     digest = F.md5(F.concat_ws("_", salt_c.cast("string"), key_c.cast("string")))
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
-
-
-def is_train(salt, key, train_buckets: int = TRAIN_BUCKETS,
-             buckets: int = BUCKETS) -> Column:
-    return (md5_bucket(salt, key) % buckets) < train_buckets

@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from prescient.operators.split import of_split
+
 
 def class_sums(train: DataFrame, feature_cols: list[str], label: str = "winner",
                group_cols: list[str] | None = None) -> DataFrame:
@@ -38,6 +40,20 @@ def class_sums(train: DataFrame, feature_cols: list[str], label: str = "winner",
         F.array(*[F.coalesce(F.sum(value(c)), F.lit(0.0)) for c in feature_cols]).alias("sums"))
 
 
+def class_sums_by_bits(df: DataFrame, feature_cols: list[str], n_splits: int,
+                       label: str = "winner", bits_col: str = "train_bits",
+                       split_col: str = "test_set") -> DataFrame:
+    """``class_sums`` of the training rows of every split, from rows that are stored
+    once: one partial aggregate per (bits, label), which has at most 2^n_splits rows a
+    label, is expanded to splits; the rows themselves are not."""
+    sums = class_sums(df, feature_cols, label, [bits_col])
+    parts = sums.select(
+        bits_col, label, "n_c", *[F.col("sums")[i].alias(f"_s{i}") for i in range(len(feature_cols))])
+    return of_split(parts, n_splits, True, bits_col, split_col).groupBy(split_col, label).agg(
+        F.sum("n_c").alias("n_c"),
+        F.array(*[F.sum(f"_s{i}") for i in range(len(feature_cols))]).alias("sums"))
+
+
 def params_from_sums(sums: DataFrame, d: int, label: str = "winner",
                      group_cols: list[str] | None = None, smoothing=1.0) -> DataFrame:
     """Parameters from ``class_sums``; ``smoothing`` is a number or a column
@@ -83,7 +99,7 @@ def predict(df: DataFrame, params: DataFrame, feature_cols: list[str],
     """Add the argmax-posterior label; ties go to the lower label index.
 
     A row with a null feature has no score in any class and gets label index 0,
-    the most frequent training label. Rows of a group without a model are dropped.
+    the most frequent training label. Rows of a group without a model get null.
     ``majority_col`` also adds label index 0 of the row's group.
 
     The parameters are packed into one row per group (classes x features numbers)
@@ -103,7 +119,7 @@ def predict(df: DataFrame, params: DataFrame, feature_cols: list[str],
                         p["lbl"].alias("lbl"))
 
     # one model per group: equi-join; a single model: scalar subquery
-    joined = df.join(F.broadcast(packed), g) if g else \
+    joined = df.join(F.broadcast(packed), g, "left") if g else \
         df.withColumn("_cls", packed.select("_cls").scalar())
     out = joined.withColumn(out_col, F.array_max(F.transform("_cls", score))["lbl"])
     if majority_col:

@@ -1,8 +1,10 @@
 """Splits, repeated splits and folds (deterministic, partition-independent).
 
 * ``hash_split``: row-level 70/30 split from an md5 bucket of the key.
-* ``repeated_splits``: the same for splits 1..n, one generator pass
-  (``explode(sequence)``), no join.
+* ``split_bits``: the same for splits 1..n as one whole number a row, a bit a
+  split, so each row is hashed and stored once; ``of_split`` expands the rows of
+  one side (the test rows of five splits are 1.5 copies, not 5).
+* ``repeated_splits``: every row once a split, with its part.
 * ``fold_assignment``: k folds from the hash (what CrossValidator needs as
   ``foldCol``).
 * ``stratified_split`` / ``stratified_folds``: exact per-label proportions.
@@ -47,6 +49,45 @@ def repeated_splits(df: DataFrame, n_splits: int = 5, key: str = "row_key",
     return hash_split(out, F.col(split_col), key, train_buckets, bucket_col="bucket")
 
 
+def split_bits(df: DataFrame, n_splits: int = 5, key: str = "row_key",
+               train_buckets: int = TRAIN_BUCKETS, buckets: int = BUCKETS,
+               bits_col: str = "train_bits", odd_col: str | None = None) -> DataFrame:
+    """Bit s - 1 of ``bits_col`` is set where the row is a training row of split s.
+    ``odd_col``: the same for an odd md5 value. At most 31 splits."""
+    if not 1 <= n_splits <= 31:
+        raise ValueError("1 to 31 splits")
+    ids = [f"_bucket{s}" for s in range(1, n_splits + 1)]
+    for s, c in enumerate(ids, 1):
+        df = df.withColumn(c, md5_bucket(s, key) % buckets)
+
+    def mask(flag):
+        out = F.lit(0)
+        for s, c in enumerate(ids):
+            out = out.bitwiseOR(F.when(flag(F.col(c)), F.lit(1 << s)).otherwise(F.lit(0)))
+        return out
+    df = df.withColumn(bits_col, mask(lambda b: b < train_buckets))
+    if odd_col:
+        df = df.withColumn(odd_col, mask(lambda b: b % 2 == 1))
+    return df.drop(*ids)
+
+
+def bit(bits_col: str, split) -> Column:
+    """Whether the bit of ``split`` (a number or column) is set."""
+    s = split if isinstance(split, Column) else F.lit(int(split))
+    return F.call_function("shiftright", F.col(bits_col), s - 1).bitwiseAND(F.lit(1)) == 1
+
+
+def of_split(df: DataFrame, n_splits: int = 5, train: bool | None = False,
+             bits_col: str = "train_bits", split_col: str = "test_set") -> DataFrame:
+    """Every row once for each split where it is a test (or training) row; with
+    ``train`` None for every split, with its ``part``."""
+    out = df.withColumn(split_col, F.explode(F.sequence(F.lit(1), F.lit(n_splits))))
+    is_train_row = bit(bits_col, F.col(split_col))
+    if train is None:
+        return out.withColumn("part", F.when(is_train_row, F.lit("train")).otherwise(F.lit("test")))
+    return out.where(is_train_row if train else ~is_train_row)
+
+
 def by_match(df: DataFrame, salt, match_col: str = "replay_id",
              train_buckets: int = TRAIN_BUCKETS) -> DataFrame:
     """Match-level variant: all snapshots of a match land on the same side."""

@@ -28,6 +28,24 @@ def accuracy(preds: DataFrame, group_cols: list[str], label: str = "winner",
             .withColumn("accuracy", F.col("correct") / F.col("n")))
 
 
+def accuracy_wide(scored: DataFrame, classifiers: list[str], group_cols: list[str],
+                  label: str = "winner") -> DataFrame:
+    """``accuracy`` of several classifiers whose predictions are columns of one row:
+    the rows are counted once, and only the groups become long rows."""
+    return (_wide_counts(scored, classifiers, group_cols, label)
+            .withColumn("accuracy", F.col("correct") / F.col("n")))
+
+
+def _wide_counts(scored, classifiers, group_cols, label):
+    counts = scored.groupBy(*group_cols).agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.coalesce(F.sum(correct_flag(label, c)), F.lit(0)).cast("bigint").alias(f"_correct_{c}")
+          for c in classifiers])
+    return counts.select(*group_cols, "n", F.inline(F.array(*[
+        F.struct(F.lit(c).alias("classifier"), F.col(f"_correct_{c}").alias("correct"))
+        for c in classifiers])))
+
+
 def confusion(preds: DataFrame, group_cols: list[str], label: str = "winner",
               prediction: str = "prediction") -> DataFrame:
     return (preds.groupBy(*group_cols, F.col(label).alias("label"),
@@ -52,6 +70,23 @@ def accuracy_curve(preds: DataFrame, cutoffs: list[int], group_cols: list[str],
                   .groupBy(*group_cols, "_cut")
                   .agg(F.count(F.lit(1)).alias("_n"),
                        F.sum(correct_flag(label, prediction)).cast("bigint").alias("_c")))
+    return _spread(per_bucket, cutoffs, group_cols)
+
+
+def accuracy_curve_wide(scored: DataFrame, classifiers: list[str], cutoffs: list[int],
+                        group_cols: list[str], frame: str = "frame",
+                        label: str = "winner") -> DataFrame:
+    """``accuracy_curve`` of several classifiers whose predictions are columns of one
+    row: one aggregate over the rows, long rows for the (group, bucket) totals only."""
+    tagged = scored.withColumn("_cut", first_cutoff_above(frame, cutoffs)) \
+        .where(F.col("_cut").isNotNull())
+    per_bucket = _wide_counts(tagged, classifiers, [*group_cols, "_cut"], label) \
+        .withColumnsRenamed({"n": "_n", "correct": "_c"})
+    return _spread(per_bucket, cutoffs, [*group_cols, "classifier"])
+
+
+def _spread(per_bucket: DataFrame, cutoffs: list[int], group_cols: list[str]) -> DataFrame:
+    """Totals of (group, smallest cutoff above) added to that and every later cutoff."""
     cut_arr = F.array(*[F.lit(int(c)) for c in sorted(cutoffs)])
     spread = per_bucket.withColumn("cutoff", F.explode(F.filter(cut_arr, lambda c: c >= F.col("_cut"))))
     return (spread.groupBy(*group_cols, "cutoff")

@@ -9,17 +9,22 @@ of five repeated splits with six classifiers (FIXTURES.md section 3):
 * PRICE price > 45000 -> 'O'      * HASH  md5 bucket of the row is odd -> 'O'
 
 The four rules stand in for classifiers that SQL can state; MAJ and NB are
-real fits by the library. One pass over the exploded splits fits both, a
-second pass scores the test rows with all six.
+real fits by the library. The snapshots are written once with a bit a split
+(``split_table``) and reused while the input files stay the same; one pass over
+them fits both for all splits, a second scores the test rows with all six.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prescient.operators import naive_bayes as nb
-from prescient.operators.split import repeated_splits
+from prescient.operators import split
+from prescient.session import scratch_path
+from prescient.sources import sinks
 from prescient.sources.snapshots import NUMERIC_FEATURES, snapshots_from_lineitem
 from prescient.sources.tables import read_table
 
@@ -34,34 +39,60 @@ def snapshots(spark: SparkSession, sf_dir: str, with_duration: bool = False,
                                    frame_below)
 
 
+def split_table(spark: SparkSession, sf_dir: str, n_splits: int = N_SPLITS) -> DataFrame:
+    """The snapshots, each stored once, with the bits of the splits it trains in
+    (``train_bits``) and of an odd md5 value (``odd_bits``).
+
+    Row groups of 16 MB let a scan of a small table spread over tasks; the order by
+    frame lets a cutoff filter skip row groups.
+    """
+    rows = snapshots(spark, sf_dir)
+    return sinks.materialize_once(
+        spark, scratch_path(spark, "splits-" + hashlib.md5(sf_dir.encode()).hexdigest()[:12]),
+        lambda: split.split_bits(rows, n_splits, odd_col="odd_bits").sortWithinPartitions("frame"),
+        key=f"md5-70-30|{n_splits}", inputs=[rows], options={"parquet.block.size": str(16 << 20)})
+
+
 def split_rows(spark: SparkSession, sf_dir: str, n_splits: int = N_SPLITS) -> DataFrame:
-    return repeated_splits(snapshots(spark, sf_dir), n_splits)
+    """Every snapshot once a split, with its part."""
+    return split.of_split(split_table(spark, sf_dir, n_splits), n_splits, None) \
+        .drop("train_bits", "odd_bits")
 
 
-def predictions(spark: SparkSession, sf_dir: str, n_splits: int = N_SPLITS) -> DataFrame:
-    rows = split_rows(spark, sf_dir, n_splits)
-    train = rows.where(F.col("part") == "train")
-    test = rows.where(F.col("part") == "test")
-    # one aggregation feeds both fitted rules: the NB parameters carry the
-    # class counts, and label index 0 is the majority label
-    params = nb.fit_params(train, NUMERIC_FEATURES, group_cols=["test_set"])
-    scored = nb.predict(test, params, NUMERIC_FEATURES, group_cols=["test_set"],
-                        out_col="nb_pred", majority_col="maj")
+def nb_sums(spark: SparkSession, sf_dir: str, n_splits: int = N_SPLITS) -> DataFrame:
+    """Class counts and feature sums of the training rows of every split."""
+    return nb.class_sums_by_bits(split_table(spark, sf_dir, n_splits), NUMERIC_FEATURES, n_splits)
+
+
+def nb_params(spark: SparkSession, sf_dir: str, n_splits: int = N_SPLITS) -> DataFrame:
+    """Naive Bayes of every split, smoothing 1."""
+    return nb.params_from_sums(nb_sums(spark, sf_dir, n_splits), len(NUMERIC_FEATURES),
+                               group_cols=["test_set"])
+
+
+def test_rows(spark: SparkSession, sf_dir: str, n_splits: int = N_SPLITS) -> DataFrame:
+    """Every snapshot once for each split where it is a test row."""
+    return split.of_split(split_table(spark, sf_dir, n_splits), n_splits)
+
+
+def scored(spark: SparkSession, sf_dir: str, n_splits: int = N_SPLITS) -> DataFrame:
+    """Test rows of every split with a column of predictions for each of CLASSIFIERS."""
+    out = nb.predict(test_rows(spark, sf_dir, n_splits), nb_params(spark, sf_dir, n_splits),
+                     NUMERIC_FEATURES, group_cols=["test_set"], out_col="NB", majority_col="MAJ")
 
     def rule(cond):
         return F.when(cond, F.lit("O")).otherwise(F.lit("F"))
 
-    def opt(name, pred):
-        return F.struct(F.lit(name).alias("classifier"), pred.alias("prediction"))
-
-    options = F.array(
-        opt("MAJ", F.col("maj")),
-        opt("NB", F.col("nb_pred")),
-        opt("QTY", rule(F.col("quantity") > 25)),
-        opt("TAX", rule(F.col("tax") > 0.04)),
-        opt("PRICE", rule(F.col("price") > 45000)),
-        # the split bucket is the md5 value mod 1000; 2 divides 1000, so its
-        # parity is the parity of the md5 value itself
-        opt("HASH", rule(F.col("bucket") % 2 == 1)),
-    )
-    return scored.select("row_key", "test_set", "frame", "winner", F.inline(options))
+    return out.select("row_key", "test_set", "frame", "winner", "MAJ", "NB",
+                      rule(F.col("quantity") > 25).alias("QTY"),
+                      rule(F.col("tax") > 0.04).alias("TAX"),
+                      rule(F.col("price") > 45000).alias("PRICE"),
+                      rule(split.bit("odd_bits", F.col("test_set"))).alias("HASH"))
+
+
+def predictions(spark: SparkSession, sf_dir: str, n_splits: int = N_SPLITS) -> DataFrame:
+    """``scored`` as one row for each classifier."""
+    return scored(spark, sf_dir, n_splits).select(
+        "row_key", "test_set", "frame", "winner",
+        F.inline(F.array(*[F.struct(F.lit(c).alias("classifier"), F.col(c).alias("prediction"))
+                           for c in CLASSIFIERS])))

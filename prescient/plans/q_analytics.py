@@ -29,7 +29,7 @@ SELECT classifier, count(*) AS n,
 FROM predictions GROUP BY classifier""")
 def accuracy_metric(spark, sf_dir):
     """matches / rows per classifier over every test row of every split."""
-    acc = sweep.accuracy(inputs.predictions(spark, sf_dir), ["classifier"])
+    acc = sweep.accuracy_wide(inputs.scored(spark, sf_dir), CLASSIFIERS, [])
     return acc.withColumn("accuracy", r6("accuracy"))
 
 
@@ -40,7 +40,7 @@ SELECT test_set, classifier, count(*) AS n,
 FROM predictions GROUP BY test_set, classifier""")
 def accuracy_by_model(spark, sf_dir):
     """One accuracy per (split, model): the study's accuracy table, long."""
-    acc = sweep.accuracy(inputs.predictions(spark, sf_dir), ["test_set", "classifier"])
+    acc = sweep.accuracy_wide(inputs.scored(spark, sf_dir), CLASSIFIERS, ["test_set"])
     return acc.withColumn("accuracy", r6("accuracy"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from prescient.operators import naive_bayes as nb
-from prescient.operators import summary
+from prescient.operators import summary, sweep
 from prescient.plans import inputs
 from prescient.plans.oracle import (FEATS, MEASURES, NB_PARAMS, PREDICTIONS, SNAPSHOTS, SPLITS,
                                     with_)
@@ -25,14 +25,8 @@ _THETA_LONG = " UNION ALL ".join(
 NB_LONG = f"nb_long AS ({_THETA_LONG})"
 
 
-def _train_test(spark, sf_dir):
-    rows = inputs.split_rows(spark, sf_dir)
-    return rows.where(F.col("part") == "train"), rows.where(F.col("part") == "test")
-
-
 def _params(spark, sf_dir):
-    train, _ = _train_test(spark, sf_dir)
-    return nb.fit_params(train, NUMERIC_FEATURES, group_cols=["test_set"])
+    return inputs.nb_params(spark, sf_dir)
 
 
 @query("train_nb_params", with_(SNAPSHOTS, SPLITS, NB_PARAMS, NB_LONG) + """
@@ -49,10 +43,8 @@ def train_nb_params(spark, sf_dir):
 @query("predict_nb", with_(SNAPSHOTS, PREDICTIONS) + """
 SELECT row_key, test_set, prediction FROM predictions WHERE classifier = 'NB'""")
 def predict_nb(spark, sf_dir):
-    train, test = _train_test(spark, sf_dir)
-    params = nb.fit_params(train, NUMERIC_FEATURES, group_cols=["test_set"])
-    return nb.predict(test, params, NUMERIC_FEATURES, group_cols=["test_set"]).select(
-        "row_key", "test_set", "prediction")
+    return nb.predict(inputs.test_rows(spark, sf_dir), _params(spark, sf_dir), NUMERIC_FEATURES,
+                      group_cols=["test_set"]).select("row_key", "test_set", "prediction")
 
 
 @query("nb_cond_prob", with_(SNAPSHOTS, SPLITS, NB_PARAMS, NB_LONG) + """
@@ -140,19 +132,19 @@ FROM sc WHERE rn = 1 GROUP BY test_set, smoothing""")
 def expand_grid(spark, sf_dir):
     """Grid (smoothing 0.5, 1, 2) x splits: every grid point's model from one
     pass of class sums, every test row scored for every grid point."""
-    train, test = _train_test(spark, sf_dir)
-    grid = F.explode(F.array(*[F.lit(v) for v in (0.5, 1.0, 2.0)]))
-    sums = (nb.class_sums(train, NUMERIC_FEATURES, group_cols=["test_set"])
-            .withColumn("smoothing", grid))
-    params = nb.params_from_sums(sums, len(NUMERIC_FEATURES), group_cols=["test_set", "smoothing"],
-                                 smoothing=F.col("smoothing"))
-    scored = nb.predict(test.withColumn("smoothing", grid), params, NUMERIC_FEATURES,
-                        group_cols=["test_set", "smoothing"])
-    acc = (scored.groupBy("test_set", "smoothing")
-           .agg(F.count(F.lit(1)).alias("n"),
-                F.sum((F.col("prediction") == F.col("winner")).cast("int")).cast("bigint")
-                .alias("correct")))
-    return acc.withColumn("accuracy", r6(F.col("correct") / F.col("n")))
+    grid = (0.5, 1.0, 2.0)
+    sums = inputs.nb_sums(spark, sf_dir)
+    scored = inputs.test_rows(spark, sf_dir)
+    for v in grid:
+        params = nb.params_from_sums(sums, len(NUMERIC_FEATURES), group_cols=["test_set"],
+                                     smoothing=v)
+        scored = nb.predict(scored, params, NUMERIC_FEATURES, group_cols=["test_set"],
+                            out_col=f"at{v}".replace(".", "_"))
+    cols = [f"at{v}".replace(".", "_") for v in grid]
+    value = F.create_map(*[F.lit(x) for c, v in zip(cols, grid, strict=True) for x in (c, v)])
+    return sweep.accuracy_wide(scored, cols, ["test_set"]).select(
+        "test_set", value[F.col("classifier")].alias("smoothing"), "n", "correct",
+        r6("accuracy").alias("accuracy"))
 
 
 # What each classifier of the prediction table is.

@@ -172,20 +172,7 @@ SELECT CAST(t.test_set AS INTEGER) AS test_set,
 FROM snapshots s CROSS JOIN (SELECT range AS test_set FROM range(1, 6)) t
 GROUP BY ALL""")
 def materialized_splits(spark, sf_dir):
-    """The five splits written once, partitioned by (test_set, part), and
-    re-read by every later call (reuse-or-create on the _SUCCESS marker)."""
-    import hashlib
-
-    from prescient.session import scratch_path
-    from prescient.sources.sinks import materialize_once
-    # the key names the input and the split definition, so a change to either
-    # never reuses an old table
-    spec = f"{sf_dir}|md5-70-30|{inputs.N_SPLITS}|v2"
-    path = scratch_path(spark, "splits-" + hashlib.md5(spec.encode()).hexdigest()[:12])
-    # sorted by frame inside each file: parquet min/max statistics then let a
-    # later cutoff filter (frame < c) skip row groups
-    rows = materialize_once(
-        spark, path,
-        lambda: inputs.split_rows(spark, sf_dir).drop("bucket").sortWithinPartitions("frame"),
-        partition_by=["test_set", "part"])
+    """The snapshots written once with a bit for each of five splits, and re-read by
+    every later call (reuse-or-create on a manifest of the key and the input files)."""
+    rows = split.of_split(inputs.split_table(spark, sf_dir), inputs.N_SPLITS, None)
     return rows.groupBy("test_set", "part").agg(F.count(F.lit(1)).alias("n"))

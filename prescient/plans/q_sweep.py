@@ -12,8 +12,8 @@ from prescient.session import cut_lineage
 
 def curve(spark, sf_dir):
     """Accuracy per (classifier, test_set, cutoff) from one scoring pass (lazy)."""
-    preds = inputs.predictions(spark, sf_dir)
-    return sweep.accuracy_curve(preds, ADAPTER_CUTOFFS, ["classifier", "test_set"])
+    return sweep.accuracy_curve_wide(inputs.scored(spark, sf_dir), inputs.CLASSIFIERS,
+                                     ADAPTER_CUTOFFS, ["test_set"])
 
 
 def measures(spark, sf_dir):

@@ -149,6 +149,56 @@ def test_materialize_once(spark, tmp_path):
     a = sinks.materialize_once(spark, path, build)
     b = sinks.materialize_once(spark, path, build)
     assert a.count() == b.count() == 10 and len(calls) == 1
+    sinks.materialize_once(spark, path, build, key="other")
+    assert len(calls) == 2
+
+
+def test_materialize_once_sees_changed_inputs(spark, tmp_path):
+    src, path = str(tmp_path / "in"), str(tmp_path / "t")
+
+    def table():
+        rows = spark.read.parquet(src)
+        return sinks.materialize_once(spark, path, lambda: rows.selectExpr("id + 1 AS id"),
+                                      inputs=[rows])
+    spark.range(10).write.parquet(src)
+    assert table().count() == table().count() == 10
+    spark.range(5).write.mode("append").parquet(src)
+    assert table().count() == 15
+    spark.range(20, 24).write.mode("overwrite").parquet(src)
+    assert sorted(r.id for r in table().collect()) == [21, 22, 23, 24]
+    # A write that dies leaves the finished table, and nothing of its own, at the place.
+    spark.range(3).write.mode("append").parquet(src)
+    rows = spark.read.parquet(src)
+    with pytest.raises(ZeroDivisionError):
+        sinks.materialize_once(spark, path, lambda: 1 / 0, inputs=[rows])
+    assert spark.read.parquet(path).count() == 4
+    assert table().count() == 7
+
+
+def test_split_bits_are_the_repeated_splits(spark):
+    snaps = inputs.snapshots(spark, SMALL).select("row_key", "frame")
+    want = split.repeated_splits(snaps, 5)
+    bits = split.split_bits(snaps, 5, odd_col="odd")
+    for part in ("train", "test"):
+        a = want.where(F.col("part") == part).groupBy("test_set").agg(
+            F.count("*"), F.sum(F.xxhash64("row_key").cast("decimal(38,0)")))
+        b = split.of_split(bits, 5, part == "train").groupBy("test_set").agg(
+            F.count("*"), F.sum(F.xxhash64("row_key").cast("decimal(38,0)")))
+        assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    odd = split.of_split(bits, 5, None).withColumn("o", split.bit("odd", F.col("test_set")))
+    both = odd.join(want, ["row_key", "frame", "test_set", "part"])
+    assert both.where("o <> (bucket % 2 = 1)").count() == 0 and both.count() >= want.count()
+
+
+def test_class_sums_by_bits_equal_explode(spark):
+    snaps = inputs.snapshots(spark, SMALL)
+    cols = ["quantity", "price"]
+    train = split.repeated_splits(snaps, 3).where("part = 'train'")
+    want = {(r.test_set, r.winner): (r.n_c, [round(x, 4) for x in r["sums"]])
+            for r in nb.class_sums(train, cols, group_cols=["test_set"]).collect()}
+    got = {(r.test_set, r.winner): (r.n_c, [round(x, 4) for x in r["sums"]])
+           for r in nb.class_sums_by_bits(split.split_bits(snaps, 3), cols, 3).collect()}
+    assert got == want
 
 
 def test_number_from_path(spark, tmp_path):
