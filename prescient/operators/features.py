@@ -8,7 +8,6 @@ fitted by Spark over the whole training table (distributed counts).
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import (IndexToString, RFormula, StringIndexer, VectorAssembler,
                                 VectorIndexer)
 from pyspark.ml.functions import vector_to_array
@@ -53,8 +52,12 @@ def build_stages(inputs: list[str] | None = None, handle_invalid: str = "error")
     return [*indexers(handle_invalid), assembler(inputs), vector_indexer()]
 
 
-def fit_prefix(train: DataFrame, inputs: list[str] | None = None) -> PipelineModel:
-    return Pipeline(stages=build_stages(inputs)).fit(train)
+def fold_stages(inputs: list[str] | None = None) -> list:
+    """``build_stages`` for a part of the rows: a pairing, or a value of a categorical
+    slot, that only other rows have becomes a category of its own."""
+    pairing, label = indexers()
+    return [pairing.setHandleInvalid("keep"), label, assembler(inputs),
+            vector_indexer().setHandleInvalid("keep")]
 
 
 def label_converter(labels: list[str], inp: str = "prediction",

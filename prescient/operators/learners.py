@@ -144,7 +144,9 @@ def evaluator() -> MulticlassClassificationEvaluator:
 def grid_search(train: DataFrame, estimator, grid, fold_col: str | None = "fold",
                 folds: int = 10, parallelism: int = 4, seed: int = 7,
                 inputs: list[str] | None = None, extra: list | None = None):
-    """k-fold CV over the grid, best by accuracy, refit on all training rows.
+    """k-fold CV over the grid of whole pipelines by ``CrossValidator`` (the prefix is
+    fitted for every grid point; ``tuning.tune`` fits it once a fold), best by accuracy,
+    refit on all training rows.
 
     With ``fold_col`` the folds are the given (deterministic) column.
     Returns (CrossValidatorModel, one row per grid point with its mean

@@ -54,6 +54,29 @@ def class_sums_by_bits(df: DataFrame, feature_cols: list[str], n_splits: int,
         F.array(*[F.sum(f"_s{i}") for i in range(len(feature_cols))]).alias("sums"))
 
 
+def fold_sums(df: DataFrame, feature_cols: list[str], n_splits: int, label: str = "winner",
+              bits_col: str = "train_bits", fold_col: str = "fold",
+              split_col: str = "test_set") -> DataFrame:
+    """``class_sums`` of the training part of every fold of every split: all folds'
+    sums less the fold's own, from one partial aggregate per (bits, fold, label)."""
+    names = [f"_s{i}" for i in range(len(feature_cols))]
+    sums = class_sums(df, feature_cols, label, [bits_col, fold_col])
+    parts = sums.select(bits_col, fold_col, label, "n_c",
+                        *[F.col("sums")[i].alias(c) for i, c in enumerate(names)])
+    per = of_split(parts, n_splits, True, bits_col, split_col) \
+        .groupBy(split_col, fold_col, label).agg(*[F.sum(c).alias(c) for c in ("n_c", *names)])
+    # Every fold meets every label of its split, also one that it has no row of.
+    folds = per.groupBy(split_col).agg(F.collect_set(fold_col).alias("_folds"))
+    total = per.groupBy(split_col, label).agg(*[F.sum(c).alias(f"t{c}") for c in ("n_c", *names)])
+    every = total.join(folds, split_col).withColumn(fold_col, F.explode("_folds"))
+    out = every.join(per, [split_col, fold_col, label], "left")
+
+    def rest(c):
+        return F.col(f"t{c}") - F.coalesce(F.col(c), F.lit(0))
+    return out.select(split_col, fold_col, label, rest("n_c").alias("n_c"),
+                      F.array(*[rest(c) for c in names]).alias("sums")).where("n_c > 0")
+
+
 def params_from_sums(sums: DataFrame, d: int, label: str = "winner",
                      group_cols: list[str] | None = None, smoothing=1.0) -> DataFrame:
     """Parameters from ``class_sums``; ``smoothing`` is a number or a column
