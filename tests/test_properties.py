@@ -175,6 +175,17 @@ def test_materialize_once_sees_changed_inputs(spark, tmp_path):
     assert table().count() == 7
 
 
+def test_nearest_centre_by_blocks():
+    rng = np.random.default_rng(3)
+    x, c = rng.normal(size=(50, 4)), rng.normal(size=(37, 4))
+    c[20] = c[3]
+    d = np.sqrt(((x[:, None] - c[None]) ** 2).sum(axis=2))
+    for across in (1, 7, 100):
+        cell, dist = knn._nearest_centre(x, c, across)
+        assert (cell == d.argmin(axis=1)).all() and np.allclose(dist, d.min(axis=1))
+        assert np.allclose(knn._dist_rows(x, c, 8, across), d)
+
+
 def test_split_bits_are_the_repeated_splits(spark):
     snaps = inputs.snapshots(spark, SMALL).select("row_key", "frame")
     want = split.repeated_splits(snaps, 5)
@@ -341,7 +352,7 @@ def test_knn_on_snapshots_equals_brute_force(spark):
     from prescient.plans.q_knn import snapshot_predictions
     snaps = inputs.snapshots(spark, SMALL).orderBy("row_key").limit(500).cache()
     got = {(r["test_set"], r["row_key"]): r["prediction"]
-           for r in snapshot_predictions(snaps, n_splits=2).collect()}
+           for r in snapshot_predictions(split.split_bits(snaps, 2), n_splits=2).collect()}
     want = {}
     for s in (1, 2):
         rows = split.hash_split(snaps, s).collect()
