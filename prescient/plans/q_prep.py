@@ -13,7 +13,8 @@ from prescient.plans.oracle import DURATION, SNAPSHOTS, with_
 from prescient.plans.registry import query, r6
 from prescient.session import scratch_path
 from prescient.sources import sinks
-from prescient.sources.snapshots import ADAPTER_ENEMY, ADAPTER_PAIRS
+from prescient.sources.snapshots import (ADAPTER_ENEMY, ADAPTER_PAIRS, NUMERIC_FEATURES,
+                                         PAIRING_SCHEMA, read_pairings)
 
 
 def _fresh(spark, name):
@@ -93,16 +94,37 @@ def regex_filter(spark, sf_dir):
     return snaps.where(F.col("match_key").rlike("^R_[0-9]*7$")).select("row_key", "match_key", "frame")
 
 
-@query("union_pairings", with_(SNAPSHOTS) + """
-SELECT row_key, 'A' AS pairing, winner FROM snapshots WHERE races = 'A'
-UNION ALL SELECT row_key, 'N', winner FROM snapshots WHERE races = 'N'
-UNION ALL SELECT row_key, 'R', winner FROM snapshots WHERE races = 'R'""")
+#: Columns of the snapshots that stand for the 28 numbers of a per-pairing file.
+_NUMBERS = [NUMERIC_FEATURES[i % len(NUMERIC_FEATURES)] for i in range(len(PAIRING_SCHEMA) - 2)]
+
+
+@query("union_pairings", with_(SNAPSHOTS) + f"""
+, tagged AS (SELECT *, races || CAST(CAST(linenumber AS INTEGER) % 2 AS VARCHAR) AS pairing
+             FROM snapshots)
+SELECT pairing || '_' || replay_id AS match_key, pairing, winner,
+       {", ".join(f'CAST({c} AS DOUBLE) AS {f.name}' for c, f in
+                  zip(_NUMBERS[:10], PAIRING_SCHEMA.fields[1:11], strict=True))},
+       round({" + ".join(_NUMBERS)}, 4) AS total
+FROM tagged""")
 def union_pairings(spark, sf_dir):
-    """Three per-pairing tables (one per return flag), each tagged with a
-    constant column and stacked by name."""
-    snaps = inputs.snapshots(spark, sf_dir).select("row_key", "races", "winner")
-    parts = {p: snaps.where(F.col("races") == p).drop("races") for p in ("A", "N", "R")}
-    return prep.union_pairings(parts, "pairing")
+    """Six per-pairing files (return flag, odd or even line) written with the study's 30
+    columns, read back in one scan with the tag from the path; none is lost."""
+    snaps = inputs.snapshots(spark, sf_dir).withColumn("pairing", F.concat(
+        "races", (F.col("linenumber").cast("int") % 2).cast("string")))
+    path = _fresh(spark, "pairings")
+    names = [f.name for f in PAIRING_SCHEMA.fields]
+    snaps.select("pairing", F.col("replay_id").cast("int").alias(names[0]),
+                 *[F.col(c).cast("double").alias(n) for c, n in zip(_NUMBERS, names[1:-1], strict=True)],
+                 F.col("winner").alias(names[-1])) \
+        .write.partitionBy("pairing").option("header", "true").csv(path)
+    rows, _ = read_pairings(spark, f"{path}/pairing=*", [a + b for a in "ANR" for b in "01"],
+                            r"/pairing=([^/]*)/")
+    total = F.lit(0.0)
+    for n in names[1:-1]:
+        total = total + F.col(n)
+    keyed = prep.composite_key(rows, ["Races", "ReplayID"])
+    return keyed.select("match_key", F.col("Races").alias("pairing"), F.col("Winner").alias("winner"),
+                        *names[1:11], F.round(total, 4).alias("total"))
 
 
 _PAIRED_SQL = with_(SNAPSHOTS) + """

@@ -34,10 +34,17 @@ SNAPSHOT_SCHEMA = T.StructType(
        T.StructField("Races", T.StringType())]
 )
 
-# Model input of the study: Frame, the 24 ints, the 2 doubles, indexed races.
-STUDY_MODEL_INPUTS = (["Frame"] + OWN_FEATURES + ENEMY_FEATURES
-                      + ["ObservedResourceValue", "EnemyObservedResourceValue",
-                         "indexedRaces"])
+# The columns of a per-pairing file, by position: a whole-number id, 28
+# numbers, the winner. The pairing is in the file's name only.
+PAIRING_SCHEMA = T.StructType(
+    [T.StructField("ReplayID", T.IntegerType())]
+    + [T.StructField(f, T.DoubleType()) for f in
+       ["Duration", "Frame", *OWN_FEATURES, *ENEMY_FEATURES,
+        "ObservedResourceValue", "EnemyObservedResourceValue"]]
+    + [T.StructField("Winner", T.StringType())])
+
+#: Columns that ``read_pairings`` adds.
+PAIRING, MALFORMED = "Races", "_malformed"
 
 # Adapter columns (lineitem plays the part of the snapshot table).
 ADAPTER_OWN = ["quantity", "price", "discount", "tax", "linenumber"]
@@ -61,6 +68,35 @@ def read_snapshot_csv(spark: SparkSession, path: str,
             .option("mode", "FAILFAST").schema(schema).csv(path))
 
 
+def read_pairings(spark: SparkSession, paths: str | list[str], tags: list[str],
+                  pattern: str, schema: T.StructType = PAIRING_SCHEMA,
+                  tag_col: str = PAIRING) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects) of per-pairing CSV files with a header, read in one scan.
+
+    Columns go by position with the declared ``schema``. ``tag_col`` is what group 1 of
+    ``pattern`` finds in the file's path; a tag that is not in ``tags`` (or none) is an
+    error, not a loss. Lines with another number of fields or with a value that is
+    not of its type are rejects: (path, tag, line). Whole lines are parsed, whatever
+    columns are read later, so a line is a reject or a row in every query.
+    """
+    held = T.StructType([*schema.fields, T.StructField(MALFORMED, T.StringType())])
+    rows = (spark.read.option("header", "true").option("inferSchema", "false")
+            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", MALFORMED)
+            .option("enforceSchema", "true")
+            .schema(held).csv(paths))
+    found = F.regexp_extract(F.col("_metadata.file_path"), pattern, 1)
+    known = F.when(found.isin(tags), found).otherwise(F.raise_error(F.concat(
+        F.lit("unknown pairing in "), F.col("_metadata.file_path"))))
+    rows = rows.withColumn("_path", F.col("_metadata.file_path")).withColumn(tag_col, known)
+    # Only columns that a query reads are converted, so the test reads all of them.
+    every = F.xxhash64(*[F.col(f.name) for f in schema.fields]).bitwiseAND(F.lit(0).cast("long"))
+    rejected = F.coalesce(F.greatest(F.length(MALFORMED), every), F.lit(0)) > 0
+    good = rows.where(~rejected).drop(MALFORMED, "_path")
+    bad = rows.where(rejected).select(
+        F.col("_path").alias("path"), tag_col, F.col(MALFORMED).alias("line"))
+    return good, bad
+
+
 def snapshots_from_lineitem(lineitem: DataFrame, with_duration: bool = False,
                             frame_below: int | None = None) -> DataFrame:
     """lineitem -> snapshot view.

@@ -175,6 +175,28 @@ def test_materialize_once_sees_changed_inputs(spark, tmp_path):
     assert table().count() == 7
 
 
+def test_pairing_files_rejects_and_unknown_tags(spark, tmp_path):
+    from prescient.sources.snapshots import PAIRING_SCHEMA, read_pairings
+    n = len(PAIRING_SCHEMA) - 2
+    good = "7," + ",".join(str(i) for i in range(n)) + ",A"
+    bad = ["8," + ",".join("1" for _ in range(n - 1)) + ",A",      # a field less
+           "9," + ",".join("1" for _ in range(n)) + ",A,B",         # a field more
+           "10," + ",".join("x" if i == 20 else "1" for i in range(n)) + ",A",
+           "x," + ",".join("1" for _ in range(n)) + ",B"]
+    head = ",".join(f"other{i}" for i in range(n + 2))  # names do not matter, places do
+    for tag, lines in (("PvP", [good, *bad[:2]]), ("PvT", [good, good, *bad[2:]])):
+        (tmp_path / f"data_{tag}.csv").write_text("\n".join([head, *lines]) + "\n")
+    rows, rejects = read_pairings(spark, str(tmp_path / "data_*.csv"), ["PvP", "PvT"],
+                                  r"data_([A-Za-z]+)\.csv$")
+    assert sorted(r.Races for r in rows.select("Races").collect()) == ["PvP", "PvT", "PvT"]
+    assert rows.agg(F.sum("ReplayID")).first()[0] == 21 and rows.count() == 3
+    assert {(r.Races, r.line) for r in rejects.collect()} == \
+        {("PvP", b) for b in bad[:2]} | {("PvT", b) for b in bad[2:]}
+    rows, _ = read_pairings(spark, str(tmp_path / "data_*.csv"), ["PvP"], r"data_([A-Za-z]+)\.csv$")
+    with pytest.raises(Exception, match="unknown pairing"):
+        rows.select("ReplayID", "Races").collect()
+
+
 def test_nearest_centre_by_blocks():
     rng = np.random.default_rng(3)
     x, c = rng.normal(size=(50, 4)), rng.normal(size=(37, 4))
