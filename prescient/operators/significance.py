@@ -8,12 +8,10 @@ group, set by the number of splits and classifiers, not by the data.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from prescient.functions.distributions import chi2_sf, shapiro_wilk, t_two_sided_p
+from prescient.functions.distributions import chi2_upper, shapiro_p, shapiro_w, t_two_sided_p
 
 
 def block_ranks(acc: DataFrame, by: list[str], block: str = "test_set",
@@ -47,13 +45,8 @@ def friedman(acc: DataFrame, by: list[str], block: str = "test_set",
                     (F.col("k") - 1).cast("int").alias("df")))
 
 
-@F.pandas_udf(T.DoubleType())
-def _chi2_sf_udf(x: pd.Series, k: pd.Series) -> pd.Series:
-    return pd.Series([chi2_sf(float(a), int(b)) for a, b in zip(x, k)])
-
-
 def friedman_pvalue(fr: DataFrame) -> DataFrame:
-    return fr.withColumn("p_value", _chi2_sf_udf("statistic", "df"))
+    return fr.withColumn("p_value", chi2_upper(F.col("statistic"), F.col("df")))
 
 
 def paired_t(acc: DataFrame, by: list[str], block: str = "test_set",
@@ -101,16 +94,10 @@ def adjust(pv: DataFrame, by: list[str], method: str = "holm",
 
 def normality(acc: DataFrame, by: list[str], value: str = "accuracy",
               alpha: float = 0.05) -> DataFrame:
-    """Shapiro-Wilk per group (one pandas call per group of test sets)."""
-    key_schema = [f for f in acc.schema.fields if f.name in by]
-    schema = T.StructType(key_schema + [T.StructField("w", T.DoubleType()),
-                                        T.StructField("p_value", T.DoubleType()),
-                                        T.StructField("normal", T.BooleanType())])
-
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        w, p = shapiro_wilk(pdf[value].tolist())
-        row = {c: pdf[c].iloc[0] for c in by}
-        row.update(w=w, p_value=p, normal=bool(p > alpha) if p == p else False)
-        return pd.DataFrame([row])
-
-    return acc.select(*by, value).groupBy(*by).applyInPandas(fn, schema)
+    """Shapiro-Wilk per group: w, p_value and normal (p over ``alpha``; false where there
+    is no p). A group has a value for each test set, SMALL_GROUP at most."""
+    x = F.array_sort(F.collect_list(F.col(value).cast("double")))
+    return (acc.groupBy(*by).agg(x.alias("_x"))
+            .select(*by, shapiro_w(F.col("_x")).alias("w"), F.size("_x").alias("_n"))
+            .select(*by, "w", shapiro_p(F.col("w"), F.col("_n")).alias("p_value"))
+            .withColumn("normal", F.coalesce(F.col("p_value") > alpha, F.lit(False))))

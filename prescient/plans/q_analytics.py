@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from prescient.functions.distributions import sql_t_two_sided_p
+from prescient.functions.distributions import shapiro_weights, sql_normal_upper, sql_t_two_sided_p
 from prescient.functions.frames import ADAPTER_CUTOFFS, FRAMES_PER_MINUTE, frames_to_minutes
 from prescient.operators import significance as sig
 from prescient.operators import prep, summary, sweep
@@ -256,9 +256,14 @@ def friedman_statistic(spark, sf_dir):
     return fr.withColumn("statistic", r6("statistic"))
 
 
-@query("friedman_pvalue")
+@query("friedman_pvalue", MEAS + _FRIEDMAN + """
+SELECT cutoff, round(statistic, 6) AS statistic, df,
+       round(CASE WHEN statistic <= 0 THEN 1.0 ELSE 1.0 - list_sum(list_transform(range(0, 400),
+         lambda i: exp((df / 2.0 + i) * ln(greatest(statistic, 1e-300) / 2) - statistic / 2
+                       - lgamma(df / 2.0 + i + 1)))) END, 8) AS p_value
+FROM fr""")
 def friedman_pvalue(spark, sf_dir):
-    """Chi-square tail of the Friedman statistic (pandas UDF, exact series)."""
+    """Chi-square tail of the Friedman statistic."""
     fr = sig.friedman_pvalue(sig.friedman(measures(spark, sf_dir), BY))
     return fr.select("cutoff", r6("statistic").alias("statistic"), "df",
                      F.round("p_value", 8).alias("p_value"))
@@ -347,13 +352,38 @@ def pvalue_matrix(spark, sf_dir):
             .withColumnRenamed("c2", "classifier"))
 
 
-@query("normality_flags")
+_SW_Z = """(-ln((-2.273 + 0.459 * n) - ln(1 - w)) - (0.544 - 0.39978 * n + 0.025054 * n * n
+         - 6.714e-4 * n * n * n)) / exp(1.3822 - 0.77857 * n + 0.062767 * n * n - 0.0020322 * n * n * n)"""
+_NORMAL = f"""
+, xs AS (SELECT cutoff, classifier, list(accuracy ORDER BY accuracy) AS x, count(*) AS n,
+           avg(accuracy) AS m FROM curve GROUP BY ALL),
+sw AS (SELECT *, CASE WHEN n < 3 OR x[n] = x[1] THEN NULL ELSE least(1.0,
+         pow(list_sum(list_transform(range(1, n // 2 + 1), lambda i: a[i] * (x[n + 1 - i] - x[i]))), 2)
+         / list_sum(list_transform(x, lambda v: (v - m) * (v - m)))) END AS w
+       FROM (SELECT *, CASE n {" ".join(f"WHEN {n} THEN {shapiro_weights(n)}" for n in (3, 4, 5))} END
+               AS a FROM xs)),
+zs AS (SELECT *, CASE WHEN w < 1 AND n > 3 THEN {_SW_Z} END AS z FROM sw),
+normal AS (SELECT cutoff, classifier, w, CASE WHEN w IS NULL THEN NULL
+    WHEN n = 3 THEN greatest(0.0, least(1.0, 6 / pi() * (asin(sqrt(w)) - pi() / 3)))
+    WHEN w >= 1 THEN 1.0 WHEN ln(1 - w) >= -2.273 + 0.459 * n THEN 1e-99
+    ELSE {sql_normal_upper("z")} END AS p FROM zs)"""
+
+
+@query("normality_flags", MEAS + _NORMAL + """
+SELECT cutoff, classifier, round(w, 6) AS w, round(p, 6) AS p_value, coalesce(p > 0.05, false) AS normal
+FROM normal""")
 def normality_flags(spark, sf_dir):
     """Shapiro-Wilk p per (cutoff, classifier) over the test sets; normal if p > 0.05."""
-    return sig.normality(measures(spark, sf_dir), ["cutoff", "classifier"])
+    flags = sig.normality(measures(spark, sf_dir), ["cutoff", "classifier"])
+    return flags.withColumn("w", r6("w")).withColumn("p_value", r6("p_value"))
 
 
-@query("robust_location")
+@query("robust_location", MEAS + _NORMAL + """
+, every AS (SELECT bool_and(coalesce(p > 0.05, false)) AS all_normal FROM normal)
+SELECT cutoff, classifier, all_normal,
+       round(CASE WHEN all_normal THEN avg(accuracy) ELSE median(accuracy) END, 6) AS accuracy,
+       round(stddev_samp(accuracy), 6) AS sd
+FROM curve, every GROUP BY cutoff, classifier, all_normal""")
 def robust_location(spark, sf_dir):
     """Mean if every (cutoff, classifier) group looks normal, else median; with sd."""
     m = measures(spark, sf_dir)

@@ -5,7 +5,8 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from prescient.functions.distributions import chi2_sf, shapiro_wilk, t_two_sided_p
+from prescient.functions.distributions import (chi2_sf, chi2_upper, erfc, shapiro_p, shapiro_w,
+                                               shapiro_wilk, t_two_sided_p)
 from prescient.operators import significance as sig
 
 # Accuracy of each classifier on the five test sets at the last cutoff, as
@@ -132,3 +133,34 @@ def test_normality_per_group(acc):
     out = sig.normality(acc, ["cutoff", "classifier"]).collect()
     assert len(out) == 6
     assert all(0.0 <= r["p_value"] <= 1.0 for r in out)
+
+
+def test_tails_as_columns(spark):
+    xs = [0.0, 1e-6, 0.3, 1.0, 2.4, 2.6, 4.0, 9.0, 20.0, -0.5, -3.0]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    for x, got in df.select("x", erfc(F.col("x")).alias("e")).collect():
+        assert got == pytest.approx(math.erfc(x), rel=1e-12, abs=1e-300)
+    pairs = [(x, k) for x in (-1.0, 0.0, 0.01, 1.0, 5.0, 24.3142857, 80.0) for k in range(1, 13)]
+    df = spark.createDataFrame([*pairs, (None, 3)], "x double, k int")
+    for x, k, got in df.select("x", "k", chi2_upper(F.col("x"), F.col("k")).alias("p")).collect():
+        assert got is None if x is None else got == pytest.approx(chi2_sf(x, k), rel=1e-10)
+
+
+def test_shapiro_wilk_as_columns(spark):
+    import random
+    rng = random.Random(6)
+    groups = [[rng.gauss(0, 1) for _ in range(n)] for n in (3, 4, 5, 6, 11, 12, 30, 50)]
+    groups += [[rng.random() ** 4 for _ in range(n)] for n in (5, 11, 40)]
+    groups += [[1.0] * 6, [1.0, 2.0], [], [1.0, 2.0, 3.0], [0.0] * 9 + [100.0]]
+    w = shapiro_w(F.col("v"))
+    df = spark.createDataFrame([(sorted(g),) for g in groups], "v array<double>")
+    p = shapiro_p(F.col("w"), F.size("v"))
+    for g, got_w, got_p in df.withColumn("w", w).select("v", "w", p.alias("p")).collect():
+        want = shapiro_wilk(g)
+        if math.isnan(want[0]):
+            assert got_w is None and got_p is None
+        else:
+            assert (got_w, got_p) == pytest.approx(want, rel=1e-9)
+    big = spark.createDataFrame([([float(i) for i in range(51)],)], "v array<double>")
+    with pytest.raises(Exception, match="over 50 values"):
+        big.select(w).collect()
