@@ -15,8 +15,12 @@ each (coordinate, value) pair:
   large groups of copies without their pairs. The first leader of a posting is
   its class of the most frequent values: in a group of altered copies often the
   text they come from.
-* The last round takes what is still in different components: the classes of a
-  posting meet in blocks of about BLOCK, and a block pair counts in how many
+* The last round takes what is still in different components. First an exact
+  bound: a shingle that no other open class has is in no intersection, so the rest of
+  a set limits how large a partner can be, and a posting loses the classes that
+  no size in it can match. Texts that share a passage and have words of their own
+  beside it, the common cause of long postings, go here, by one count of the open
+  classes' shingles. What is left of a posting meets in blocks of about BLOCK, and a block pair counts in how many
   coordinates two classes agree, each pair at one posting only. Pairs that
   reach MATCHES are confirmed there on the full sets, unless they are already
   in one component, and only links that join components are emitted: at most
@@ -262,9 +266,47 @@ def _leader_pairs(postings: DataFrame, turn: int) -> DataFrame:
                 F.greatest("node", "best.leader").alias("b")).distinct()
 
 
+def _shingle_rows(batches):
+    for b in batches:
+        for node, x in zip(b.column("node"), b.column("shingles"), strict=True):
+            s = np.frombuffer(x.as_buffer(), dtype=np.int64)
+            for at in range(0, s.size, 1 << 16):
+                part = s[at:at + (1 << 16)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(part), pa.array(np.full(part.size, node.as_py()))],
+                    names=["shingle", "node"])
+
+
+def bounded(postings: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``postings`` (key, node, label, ...) without the classes that can link with none of
+    their posting, and without postings of one component.
+
+    Of a class of ``size`` shingles, ``shared`` are in another open class. A partner's
+    size is at most hi = shared (100 + percent) / percent - size, as the intersection is
+    at most shared and the union the rest. A class can be the smaller of a pair if hi is
+    not below its own size, the larger if hi reaches the smallest class that can.
+    """
+    nodes = postings.select("node").distinct()
+    alone = sets.join(nodes, "node", "left_semi").select("node", "shingles") \
+        .mapInArrow(_shingle_rows, "shingle long, node long") \
+        .groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node")) \
+        .where("n = 1").groupBy("node").agg(F.count("*").alias("own"))
+    bound = nodes.join(classes.select("node", "size"), "node").join(alone, "node", "left").select(
+        "node", "size", F.expr(f"(size - coalesce(own, 0)) * {100 + percent} div {percent} - size")
+        .alias("hi"))
+    marked = written(postings.join(bound, "node"), "open-bounds")
+    least = marked.where("hi >= size").groupBy("key").agg(F.min("size").alias("least"))
+    left = marked.join(least, "key").where("hi >= size or hi >= least") \
+        .drop("size", "hi", "least")
+    open_ = left.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("up")) \
+        .where("lo <> up").select("key")
+    return left.join(open_, "key")
+
+
 def _signature_links(postings: DataFrame, classes: DataFrame, sets: DataFrame, matches: int,
                      percent: int, block: int) -> DataFrame:
     """Links among each posting's classes that join components."""
+    postings = written(bounded(postings, classes, sets, percent), "open-bounded")
     # Postings with the very same classes meet once.
     h = F.xxhash64("node")
     keys = postings.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(h).alias("x"),
