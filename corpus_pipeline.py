@@ -45,14 +45,20 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays, once."""
-    kept = exact_dedup(docs).where("kept") \
+    """Of equal texts the row with the largest doc_id stays, once. Of rows with that
+    id and an equal text the one with the smallest hash over all its columns stays, so
+    reruns agree however the rows are dealt; rows equal in every column are one."""
+    rows = _numbered(docs, "exact-rows")
+    kept = exact_dedup(rows.select("row.doc_id", "row.text")).where("kept") \
         .select(F.col("doc_id").alias("kept_id"), "text_sha256").distinct()
-    keyed = docs.select(_row(docs), F.col("doc_id").cast("long").alias("id"),
-                        F.sha2(lower_ascii(F.coalesce("text", F.lit(""))), 256).alias("sha"))
-    return keyed.join(kept, F.col("id").eqNullSafe(F.col("kept_id"))
-                      & (F.col("sha") == F.col("text_sha256")), "left_semi") \
-        .dropDuplicates(["sha", "id"]).select("row.*")
+    keyed = rows.select(
+        F.col("row.doc_id").cast("long").alias("id"),
+        F.sha2(lower_ascii(F.coalesce("row.text", F.lit(""))), 256).alias("sha"),
+        F.struct(F.xxhash64(F.col("row").cast("string")).alias("hash"), "number").alias("order"))
+    chosen = keyed.join(kept, F.col("id").eqNullSafe(F.col("kept_id"))
+                        & (F.col("sha") == F.col("text_sha256")), "left_semi") \
+        .groupBy("sha", "id").agg(F.min("order").alias("first")).select("first.number")
+    return rows.join(chosen, "number", "left_semi").select("row.*")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

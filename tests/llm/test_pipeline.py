@@ -32,6 +32,20 @@ def test_exact_stage_keeps_the_largest_id_of_equal_texts(spark):
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(str(r) for r in keep.values())
 
 
+def test_exact_stage_agrees_however_rows_are_dealt(spark):
+    ready(spark)
+    rows = [(9, "Twice", "en", "a", 1), (9, "twice", "de", "b", 2), (9, "TWICE", None, None, None),
+            (None, "none", "en", "a", 1), (None, "None", "de", "a", 2), (3, "twice", "en", "a", 1)]
+    runs = []
+    for order, parts in ((rows, 1), (rows[::-1], 4), (rows[2:] + rows[:2], 3)):
+        docs = spark.createDataFrame(order, DOCS).repartition(parts)
+        runs.append(sorted(map(str, map(tuple, corpus_pipeline.exact(spark, docs, "").collect()))))
+    assert len(runs[0]) == 2 and runs[0] == runs[1] == runs[2]
+    assert set(runs[0]) <= set(map(str, rows))
+    empty = corpus_pipeline.exact(spark, spark.createDataFrame([], DOCS), "")
+    assert empty.count() == 0 and empty.columns == ["doc_id", "text", "lang", "source", "a b"]
+
+
 def test_packed_stage_and_chain(spark):
     from tokenizers import Tokenizer
     plain = Tokenizer.from_file(public_path("byte_bpe_50k.json"))
