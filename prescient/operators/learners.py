@@ -9,7 +9,7 @@ The R-only learners of the study are re-aimed onto Spark:
 linear SVM -> ``LinearSVC`` on standardised inputs; polynomial SVM ->
 explicit ``PolynomialExpansion`` + ``LinearSVC``; radial SVM -> seeded
 random Fourier features + ``LinearSVC``; boosted trees and parallel forest
--> the GBT/RF families with their grids.
+-> the GBT/RF families (their grids are in ``tuning``).
 """
 
 from __future__ import annotations

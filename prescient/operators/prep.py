@@ -69,6 +69,22 @@ def paired_long(snaps: DataFrame, pairs: list[tuple[str, str]],
     return snaps.select(*id_cols, F.inline(arr))
 
 
+def paired_groups(snaps: DataFrame, groups: list[list[str]], id_cols=("Frame", "ReplayID"),
+                  prefix: str = "Enemy") -> DataFrame:
+    """Wide -> long for a list of column groups: each own column next to the column of
+    the same name with ``prefix``, and the number of its group from 1.
+
+    One generator pass whatever the number of groups. A null value stays a row with a
+    null; a column that is not there, on either side, is an error.
+    """
+    pairs = [(i, own) for i, group in enumerate(groups, 1) for own in group]
+    arr = F.array(*[F.struct(F.lit(i).alias("feature_group"), F.lit(own).alias("variable"),
+                             F.col(own).cast("double").alias("value"),
+                             F.col(prefix + own).cast("double").alias("value2"))
+                    for i, own in pairs])
+    return snaps.select(*id_cols, F.inline(arr))
+
+
 def paired_by_join(snaps: DataFrame, own_cols: list[str], enemy_cols: list[str],
                    row_id: str = "row_key", id_cols=("frame", "replay_id"),
                    prefix: str = "enemy_") -> DataFrame:

@@ -13,8 +13,9 @@ from prescient.plans.oracle import DURATION, SNAPSHOTS, with_
 from prescient.plans.registry import query, r6
 from prescient.session import scratch_path
 from prescient.sources import sinks
-from prescient.sources.snapshots import (ADAPTER_ENEMY, ADAPTER_PAIRS, NUMERIC_FEATURES,
-                                         PAIRING_SCHEMA, read_pairings)
+from prescient.sources.snapshots import (ADAPTER_ENEMY, ADAPTER_PAIRS, ENEMY_PREFIX,
+                                         FEATURE_GROUPS, NUMERIC_FEATURES, PAIRING_SCHEMA,
+                                         read_pairings)
 
 
 def _fresh(spark, name):
@@ -139,6 +140,25 @@ def paired_long(spark, sf_dir):
     return prep.paired_long(inputs.snapshots(spark, sf_dir), ADAPTER_PAIRS)
 
 
+#: Column of the snapshots behind each column of a per-pairing file.
+_BEHIND = {f.name: c for f, c in zip(PAIRING_SCHEMA.fields[1:-1], _NUMBERS, strict=True)}
+
+
+@query("paired_groups", with_(SNAPSHOTS) + " UNION ALL ".join(
+    f"""
+SELECT CAST({_BEHIND["Frame"]} AS DOUBLE) AS Frame, replay_id AS ReplayID, {i} AS feature_group,
+       '{own}' AS variable, CAST({_BEHIND[own]} AS DOUBLE) AS value,
+       CAST({_BEHIND[ENEMY_PREFIX + own]} AS DOUBLE) AS value2
+FROM snapshots""" for i, group in enumerate(FEATURE_GROUPS, 1) for own in group))
+def paired_groups(spark, sf_dir):
+    """All 13 own columns of the per-pairing layout beside the other side's, in the
+    study's five groups, in one pass."""
+    wide = inputs.snapshots(spark, sf_dir).select(
+        F.col("replay_id").alias("ReplayID"),
+        *[F.col(c).cast("double").alias(n) for n, c in _BEHIND.items()])
+    return prep.paired_groups(wide, FEATURE_GROUPS, prefix=ENEMY_PREFIX)
+
+
 @query("self_equi_join", _PAIRED_SQL)
 def self_equi_join(spark, sf_dir):
     """The pairing as an equi-join of the melted own and enemy views."""

@@ -43,6 +43,12 @@ PAIRING_SCHEMA = T.StructType(
         "ObservedResourceValue", "EnemyObservedResourceValue"]]
     + [T.StructField("Winner", T.StringType())])
 
+# The five groups of own columns that the study draws, three columns each
+# and the resources alone; the other side's column has the prefix.
+FEATURE_GROUPS = [OWN_FEATURES[0:3], OWN_FEATURES[3:6], OWN_FEATURES[6:9], OWN_FEATURES[9:12],
+                  ["ObservedResourceValue"]]
+ENEMY_PREFIX = "Enemy"
+
 #: Columns that ``read_pairings`` adds.
 PAIRING, MALFORMED = "Races", "_malformed"
 
