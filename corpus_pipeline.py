@@ -55,9 +55,10 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         F.col("row.doc_id").cast("long").alias("id"),
         F.sha2(lower_ascii(F.coalesce("row.text", F.lit(""))), 256).alias("sha"),
         F.struct(F.xxhash64(F.col("row").cast("string")).alias("hash"), "number").alias("order"))
-    chosen = keyed.join(kept, F.col("id").eqNullSafe(F.col("kept_id"))
-                        & (F.col("sha") == F.col("text_sha256")), "left_semi") \
-        .groupBy("sha", "id").agg(F.min("order").alias("first")).select("first.number")
+    # Repeats of one row meet in the map-side aggregation, before the join.
+    chosen = keyed.groupBy("sha", "id").agg(F.min("order").alias("first")) \
+        .join(kept, F.col("id").eqNullSafe(F.col("kept_id"))
+              & (F.col("sha") == F.col("text_sha256")), "left_semi").select("first.number")
     return rows.join(chosen, "number", "left_semi").select("row.*")
 
 
