@@ -1,4 +1,5 @@
-"""Katz backoff language model (two-word), counted and scored on packed chunks.
+"""Katz backoff language model of two or three words, counted and scored on packed
+chunks.
 
 Texts are cut into chunks of some CHUNK_BYTES; a chunk holds its documents'
 words as codes into its sorted list of distinct word hashes. Everything that
@@ -16,17 +17,23 @@ and bucket, already summed inside the chunk:
    once, twice, ... over the whole corpus. Each bucket works out the backoff
    weight of its contexts so that P(. | context) sums to exactly one; the parts
    of split contexts are added up first.
-4. A chunk scores each token by recursion: the discounted pair if it was seen,
-   else the context's backoff weight times the word's own probability, which
-   backs off to the mass of unseen words for a word not seen in training.
+4. With ``order=3`` the same is done once more for triples: the context is the
+   pair before the word, a training pair's two word numbers in one 64-bit number;
+   what the weight is normalised by is the two-word probability, which the chunk
+   sends along. The first word of a text has no pair before it and stays with
+   two words.
+5. A chunk scores each token by recursion: the discounted gram if it was seen,
+   else the context's backoff weight times the probability one level down, which
+   ends at the word's own and, for a word not seen in training, at the mass of
+   unseen words.
 
 Words are identified by 64-bit hashes. A bucket's group grows with the words or
-pairs of its range; the number of buckets grows with the tokens.
+grams of its range; the number of buckets grows with the tokens.
 
 Defined results: null text is empty and scores its end token alone. A null
 doc_id is scored like any other. Repeated rows count each time. Without
 training documents every token counts as unseen. An empty table gives no rows.
-Other columns are ignored.
+Other columns are ignored. An order other than 2 or 3 is an error.
 """
 
 from __future__ import annotations
@@ -38,7 +45,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prescient.llm.common import mix64, slices, text_buffer, word_hashes, written
+from prescient.llm.common import mix64, remove, slices, text_buffer, word_hashes, written
 from prescient.session import ready
 
 CHUNK_BYTES = 6 << 20
@@ -212,137 +219,206 @@ def _word_numbers(first: dict[int, int]):
     return of
 
 
-# ------------------------------------------------------------------- pairs
+# ------------------------------------------------------------------- grams
 
-class Pairs:
-    """The distinct pairs of a chunk, by bucket, then context, then word."""
+class Grams:
+    """The distinct (context, word) of a chunk at one level of the model, ascending.
 
-    def __init__(self, r: dict, buckets: int, often: int, starts: int):
-        codes = _unpack(r["codes"], np.uint32).astype(np.int64)
+    ``at`` are the tokens that have a gram and ``inverse`` their grams. ``lower`` is
+    what the level below says of a gram's word: the count of the word for pairs, the
+    two-word probability for triples."""
+
+    def __init__(self, r: dict):
         self.words = _unpack(r["words"], np.uint32).astype(np.int64)
+        self.first = np.cumsum(self.words + 1) - (self.words + 1)
+        self.codes = _unpack(r["codes"], np.uint32).astype(np.int64)
         self.numbers, self.counts = _unpack(r["numbers"], np.uint32), _unpack(r["counts"], np.int64)
-        first = np.cumsum(self.words + 1) - (self.words + 1)
-        self.first, self.codes = first, codes
-        word = self.numbers[codes].astype(np.uint64)
+
+    def deal(self, buckets: int, often: int) -> None:
+        """``parts``: (bucket, its grams by context and word). A context of more than
+        ``often`` occurrences is dealt by word too; what follows an unseen one is not sent."""
+        own = mix64(self.context)
+        h = np.where(self.context_count > often, mix64(own ^ self.word), own)
+        bucket = (h % np.uint64(buckets)).astype(np.int64)
+        bucket[self.context == _UNSEEN] = -1
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        self.parts = [(k, order[lo:hi]) for k, (lo, hi) in
+                      enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if hi > lo]
+
+    def judged(self, replies: pd.DataFrame, d: np.ndarray, lower: np.ndarray):
+        """(training count, probability) of each gram from the buckets' replies and the
+        probabilities ``lower`` one level down."""
+        count = np.zeros(self.word.size, dtype=np.int64)
+        alpha = np.ones(self.word.size)
+        answers = {k: (c, x) for k, c, x in zip(replies["bucket"], replies["counts"],
+                                                replies["alphas"], strict=True)}
+        for k, at in self.parts:
+            c, x = answers[k]
+            count[at] = _unpack(c, np.int64)
+            h = self.context[at]
+            alpha[at] = np.frombuffer(x)[np.searchsorted(np.unique(h), h)]
+        n = np.maximum(self.context_count, 1)
+        seen = d[np.minimum(count, GOOD_TURING + 1)] * count / n \
+            * np.where(alpha < 0, n / (n + 1.0), 1.0)
+        return count, np.where(count > 0, seen, np.abs(alpha) * lower)
+
+
+class Pairs(Grams):
+    """A word after the word before it, or after the start of its text."""
+
+    def __init__(self, r: dict, starts: int):
+        super().__init__(r)
+        word = self.numbers[self.codes].astype(np.uint64)
         context = np.empty_like(word)
         context[1:] = word[:-1]
-        context[first] = _START
-        context_count = np.empty(codes.size, dtype=np.int64)
-        context_count[1:] = self.counts[codes[:-1]]
-        context_count[first] = starts
+        context[self.first] = _START
+        context_count = np.empty(word.size, dtype=np.int64)
+        context_count[1:] = self.counts[self.codes[:-1]]
+        context_count[self.first] = starts
+        self.at = slice(None)
         self.key, at, self.inverse = np.unique((context << np.uint64(32)) | word,
                                                return_index=True, return_inverse=True)
-        self.word_count = self.counts[codes[at]]
+        self.context, self.word = self.key >> np.uint64(32), self.key & np.uint64(0xFFFFFFFF)
         self.context_count = context_count[at]
-        split = self.context_count > often
-        h = self.key >> np.uint64(32)
-        bucket = (mix64(np.where(split, self.key, h)) % np.uint64(buckets)).astype(np.int64)
-        bucket[h == _UNSEEN] = -1  # nothing is known after an unseen word
-        self.bucket = bucket
-        self.order = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[self.order], np.arange(buckets + 1))
-        self.parts = [(k, self.order[lo:hi]) for k, (lo, hi) in
-                      enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if hi > lo]
+        self.lower = self.counts[self.codes[at]]
+
+
+class Triples(Grams):
+    """A word after the pair of words before it, where training has that pair."""
 
+    def __init__(self, r: dict, starts: int):
+        pairs = Pairs(r, starts)
+        self.__dict__.update({k: getattr(pairs, k) for k in ("words", "first", "codes", "numbers", "counts")})
+        self.pair_of, self.pair_p = pairs.inverse, _unpack(r["pair_p"], np.float64)
+        count = _unpack(r["pair_counts"], np.int64)
+        has = np.ones(self.pair_of.size, dtype=bool)
+        has[self.first] = False
+        has[1:] &= count[self.pair_of[:-1]] > 0
+        self.at = np.flatnonzero(has)
+        before, own = self.pair_of[self.at - 1], self.pair_of[self.at]
+        key, at, self.inverse = np.unique(
+            (before.astype(np.uint64) << np.uint64(32)) | pairs.word[own],
+            return_index=True, return_inverse=True)
+        self.word = key & np.uint64(0xFFFFFFFF)
+        self.context, self.context_count = pairs.key[before[at]], count[before[at]]
+        self.lower = self.pair_p[own[at]]
 
-def _send_pairs(buckets: int, often: int, starts: int):
+
+#: By level: the grams of a chunk and the kind of their ``lower``.
+_LEVELS = {2: (Pairs, np.int64), 3: (Triples, np.float64)}
+_SENT = "bucket long, chunk long, context binary, word binary, lower binary, " \
+    "context_count binary, counts binary"
+
+
+def _send_grams(level: int, buckets: int, often: int, starts: int):
     def rows(batches):
         for b in batches:
             for r in b.to_pylist():
-                p = Pairs(r, buckets, often, starts)
-                learned = np.repeat(_unpack(r["train"], np.uint8) == 1, p.words + 1)
-                counts = np.bincount(p.inverse[learned], minlength=p.key.size).astype(np.uint32)
+                p = _LEVELS[level][0](r, starts)
+                p.deal(buckets, often)
+                learned = np.repeat(_unpack(r["train"], np.uint8) == 1, p.words + 1)[p.at]
+                counts = np.bincount(p.inverse[learned], minlength=p.word.size).astype(np.uint32)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([k for k, _ in p.parts], pa.int64()),
                      pa.array([r["chunk"]] * len(p.parts), pa.int64()),
                      *(pa.array([_pack(f(x)) for _, x in p.parts], pa.binary()) for f in (
-                         lambda x: np.diff(p.key[x] >> np.uint64(32), prepend=np.uint64(0))
-                         .astype(np.uint32),
-                         lambda x: (p.key[x] & np.uint64(0xFFFFFFFF)).astype(np.uint32),
-                         lambda x: p.word_count[x], lambda x: p.context_count[x],
+                         lambda x: np.diff(p.context[x], prepend=np.uint64(0)),
+                         lambda x: p.word[x].astype(np.uint32),
+                         lambda x: p.lower[x], lambda x: p.context_count[x],
                          lambda x: counts[x]))],
-                    names=["bucket", "chunk", "context", "word", "word_count", "context_count",
+                    names=["bucket", "chunk", "context", "word", "lower", "context_count",
                            "counts"])
     return rows
 
 
-_PAIR_TABLE = "bucket long, chunk long, keys binary, counts binary, word_counts binary, " \
-    "context_counts binary, " + ", ".join(f"{n} long" for n in _NS)
+_GRAM_TABLE = "bucket long, chunk long, contexts binary, words binary, counts binary, " \
+    "lowers binary, context_counts binary, " + ", ".join(f"{n} long" for n in _NS)
 
 
-def _count_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
+def _count_grams(level: int):
     """The bucket's table row (chunk null) and an answer for each chunk: the corpus
-    counts of its pairs and its contexts."""
-    keys = [(np.cumsum(_unpack(h, np.uint32), dtype=np.uint64) << np.uint64(32))
-            | _unpack(w, np.uint32) for h, w in zip(pdf["context"], pdf["word"], strict=True)]
-    every, first, at = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-    sums = np.bincount(at, weights=np.concatenate([_unpack(x, np.uint32) for x in pdf["counts"]]),
-                       minlength=every.size).astype(np.int64)
-    word_count = np.concatenate([_unpack(x, np.int64) for x in pdf["word_count"]])[first]
-    context_count = np.concatenate([_unpack(x, np.int64) for x in pdf["context_count"]])[first]
-    parts = np.split(at, np.cumsum([x.size for x in keys])[:-1])
-    none = [None] * len(parts)
-    # Contexts stay in the table even if all their pairs are unseen: they back off too.
-    head = {"bucket": pdf["bucket"].iloc[:1].tolist(), "chunk": [None],
-            "keys": [_pack(np.diff(every, prepend=np.uint64(0)))], "counts": [_pack(sums)],
-            "word_counts": [_pack(word_count)], "context_counts": [_pack(context_count)]}
-    head |= {k: [x] for k, x in zip(_NS, _counts_of_counts(sums), strict=True)}
-    rest = {"bucket": pdf["bucket"].tolist(), "chunk": pdf["chunk"].tolist(),
-            "keys": [_pack(np.diff(np.unique(k >> np.uint64(32)), prepend=np.uint64(0))
-                           .astype(np.uint32)) for k in keys],
-            "counts": [_pack(sums[p]) for p in parts], "word_counts": none,
-            "context_counts": none}
-    rest |= {k: none for k in _NS}
-    out = pd.DataFrame({k: [*head[k], *rest[k]] for k in head})
-    return out.astype({k: "Int64" for k in ("chunk", *_NS)})
+    counts of its grams and its contexts."""
+    kind = _LEVELS[level][1]
+
+    def of(pdf: pd.DataFrame) -> pd.DataFrame:
+        contexts = [np.cumsum(_unpack(h, np.uint64), dtype=np.uint64) for h in pdf["context"]]
+        context = np.concatenate(contexts)
+        code = context if level == 2 else \
+            np.unique(context, return_inverse=True)[1].astype(np.uint64)
+        word = np.concatenate([_unpack(w, np.uint32) for w in pdf["word"]])
+        every, first, at = np.unique((code << np.uint64(32)) | word,
+                                     return_index=True, return_inverse=True)
+        sums = np.bincount(at, weights=np.concatenate([_unpack(x, np.uint32) for x in pdf["counts"]]),
+                           minlength=every.size).astype(np.int64)
+        lower = np.concatenate([_unpack(x, kind) for x in pdf["lower"]])[first]
+        context_count = np.concatenate([_unpack(x, np.int64) for x in pdf["context_count"]])[first]
+        parts = np.split(at, np.cumsum([x.size for x in contexts])[:-1])
+        none = [None] * len(parts)
+        # Contexts stay in the table even if all their grams are unseen: they back off too.
+        head = {"bucket": pdf["bucket"].iloc[:1].tolist(), "chunk": [None],
+                "contexts": [_pack(np.diff(context[first], prepend=np.uint64(0)))],
+                "words": [_pack(word[first])], "counts": [_pack(sums)],
+                "lowers": [_pack(lower)], "context_counts": [_pack(context_count)]}
+        head |= {k: [x] for k, x in zip(_NS, _counts_of_counts(sums), strict=True)}
+        rest = {"bucket": pdf["bucket"].tolist(), "chunk": pdf["chunk"].tolist(),
+                "contexts": [_pack(np.diff(np.unique(h), prepend=np.uint64(0))) for h in contexts],
+                "words": none, "counts": [_pack(sums[p]) for p in parts], "lowers": none,
+                "context_counts": none}
+        rest |= {k: none for k in _NS}
+        out = pd.DataFrame({k: [*head[k], *rest[k]] for k in head})
+        return out.astype({k: "Int64" for k in ("chunk", *_NS)})
+    return of
 
 
-def _masses(r, words: Words, d: np.ndarray):
-    """(contexts, their counts, discounted mass and word mass of what was seen after them)."""
-    keys = np.cumsum(_unpack(r["keys"], np.uint64), dtype=np.uint64)
-    sums, word_count, context_count = (_unpack(r[k], np.int64) for k in (
-        "counts", "word_counts", "context_counts"))
-    h = keys >> np.uint64(32)
-    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+def _masses(r, level: int, words: Words, d: np.ndarray):
+    """(contexts, their counts, discounted mass and lower mass of what was seen after them)."""
+    context = np.cumsum(_unpack(r["contexts"], np.uint64), dtype=np.uint64)
+    sums, context_count = (_unpack(r[k], np.int64) for k in ("counts", "context_counts"))
+    lower = _unpack(r["lowers"], _LEVELS[level][1])
+    first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
     n = context_count[first]
     kept = d[np.minimum(sums, GOOD_TURING + 1)] * sums
     a = np.add.reduceat(kept, first) / np.maximum(n, 1)
-    b = np.add.reduceat(np.where(sums > 0, words.p(word_count), 0.0), first)
-    return h[first], n, a, b
+    b = np.add.reduceat(np.where(sums > 0, words.p(lower) if level == 2 else lower, 0.0), first)
+    return context[first], n, a, b
 
 
 def backoff(n: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Weight of the word level after a context seen ``n`` times, of which the pairs
-    keep mass ``a`` and whose words have mass ``b``. Negative: no count was
-    discounted, so the pairs are scaled by n / (n + 1) to leave some mass."""
+    """Weight of the level below after a context seen ``n`` times, of which the grams
+    keep mass ``a`` and whose words have mass ``b`` there. Negative: no count was
+    discounted, so the grams are scaled by n / (n + 1) to leave some mass."""
     none = a > 1 - 1e-9
     left = np.where(none, 1.0 / (n + 1.0), 1.0 - a)
     alpha = left / np.maximum(1.0 - b, 1e-12)
     return np.where(n > 0, np.where(none, -alpha, alpha), 1.0)
 
 
-def _split_masses(words, d, often):
+def _split_masses(level, words, d, often):
     def rows(batches):
         for batch in batches:
             for r in batch.to_pylist():
-                h, n, a, b = _masses(r, words, d)
+                h, n, a, b = _masses(r, level, words, d)
                 s = n > often
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[s].astype(np.int64)), pa.array(n[s]), pa.array(a[s]),
+                    [pa.array(h[s].view(np.int64)), pa.array(n[s]), pa.array(a[s]),
                      pa.array(b[s])], names=["h", "n", "a", "b"])
     return rows
 
 
-def _weights(words, d, split):
+def _weights(level, words, d, split):
     def of(answers: pd.DataFrame, tables: pd.DataFrame) -> pd.DataFrame:
         if not len(answers):
             return pd.DataFrame({"chunk": [], "bucket": [], "counts": [], "alphas": []})
-        h, n, a, b = _masses(tables.iloc[0], words, d)
+        h, n, a, b = _masses(tables.iloc[0], level, words, d)
         alpha = backoff(n, a, b)
-        for k, v in split.value.items():
-            alpha[h == k] = v
-        found = [alpha[np.searchsorted(h, np.cumsum(_unpack(x, np.uint32), dtype=np.uint64))]
-                 for x in answers["keys"]]
+        keys, values = split.value
+        if keys.size and h.size:
+            at = np.minimum(np.searchsorted(h, keys), h.size - 1)
+            here = h[at] == keys
+            alpha[at[here]] = values[here]
+        found = [alpha[np.searchsorted(h, np.cumsum(_unpack(x, np.uint64), dtype=np.uint64))]
+                 for x in answers["contexts"]]
         return pd.DataFrame({"chunk": answers["chunk"], "bucket": answers["bucket"],
                              "counts": answers["counts"], "alphas": [x.tobytes() for x in found]})
     return of
@@ -350,28 +426,36 @@ def _weights(words, d, split):
 
 # ------------------------------------------------------------------- scores
 
+_KNOWN = "chunk long, ids binary, has_id binary, train binary, words binary, codes binary, " \
+    "numbers binary, counts binary"
 _SCORE = "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def _score(words: Words, d, buckets, often, starts):
+def _pair_state(words: Words, d, buckets, often, starts):
+    """The chunk with the counts and probabilities of its pairs."""
+    def of(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left):
+            return pd.DataFrame({c: [] for c in (*left.columns, "pair_p", "pair_counts")})
+        p = Pairs(left.iloc[0], starts)
+        p.deal(buckets, often)
+        count, prob = p.judged(right, d, words.p(p.lower))
+        return left.assign(pair_p=[_pack(prob)], pair_counts=[_pack(count)])
+    return of
+
+
+def _score(level: int, words: Words, d, buckets, often, starts):
     def of(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left):
             return pd.DataFrame({c.split()[0]: [] for c in _SCORE.split(", ")})
         r = left.iloc[0]
-        p = Pairs(r, buckets, often, starts)
-        count = np.zeros(p.key.size, dtype=np.int64)
-        alpha = np.ones(p.key.size)
-        answers = {k: (c, x) for k, c, x in zip(right["bucket"], right["counts"], right["alphas"],
-                                                strict=True)}
-        for k, at in p.parts:
-            c, x = answers[k]
-            count[at] = _unpack(c, np.int64)
-            h = p.key[at] >> np.uint64(32)
-            alpha[at] = np.frombuffer(x)[np.searchsorted(np.unique(h), h)]
-        n = np.maximum(p.context_count, 1)
-        seen = d[np.minimum(count, GOOD_TURING + 1)] * count / n \
-            * np.where(alpha < 0, n / (n + 1.0), 1.0)
-        prob = np.where(count > 0, seen, np.abs(alpha) * words.p(p.word_count))
+        p = _LEVELS[level][0](r, starts)
+        p.deal(buckets, often)
+        _, prob = p.judged(right, d, words.p(p.lower) if level == 2 else p.lower)
+        if level == 2:
+            logs = np.log10(prob)[p.inverse]
+        else:
+            logs = np.log10(p.pair_p)[p.pair_of]
+            logs[p.at] = np.log10(prob)[p.inverse]
         c = p.counts[p.codes]
         base = np.log10((c + 1.0) / (words.n + words.v + 1.0))
         has = _unpack(r["has_id"], np.uint8) == 1
@@ -381,20 +465,25 @@ def _score(words: Words, d, buckets, often, starts):
             "doc_id": ids, "train": _unpack(r["train"], np.uint8) == 1, "n_tokens": p.words + 1,
             "n_known": np.add.reduceat((c > 0).astype(np.int64), p.first),
             "base_score": np.add.reduceat(base, p.first),
-            "score": np.add.reduceat(np.log10(prob)[p.inverse], p.first)})
+            "score": np.add.reduceat(logs, p.first)})
     return of
 
 
 class Model:
-    """Unigram and bigram tables in the shared folder and the numbers over them all."""
+    """The tables of each level in the shared folder, the numbers over all words and
+    the discounts of each level above them."""
 
-    def __init__(self, words: Words, d: np.ndarray, unigrams: DataFrame, bigrams: DataFrame):
-        self.words, self.d, self.unigrams, self.bigrams = words, d, unigrams, bigrams
+    def __init__(self, words: Words, unigrams: DataFrame):
+        self.words, self.unigrams = words, unigrams
+        self.d: dict[int, np.ndarray] = {}
+        self.grams: dict[int, DataFrame] = {}
 
 
-def score(docs: DataFrame, bucket_tokens: int = BUCKET_TOKENS) -> tuple[DataFrame, Model]:
+def score(docs: DataFrame, bucket_tokens: int = BUCKET_TOKENS, order: int = 2) -> tuple[DataFrame, Model]:
     """Learn from the rows of ``docs`` (doc_id, text, train) marked train and score all:
-    doc_id, train, n_tokens, n_known, base_score, score (log10)."""
+    doc_id, train, n_tokens, n_known, base_score, score (log10). ``order`` words: 2 or 3."""
+    if order not in _LEVELS:
+        raise ValueError(f"order {order}: 2 or 3")
     spark = docs.sparkSession
     ready(spark)
     chunks = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text",
@@ -402,14 +491,20 @@ def score(docs: DataFrame, bucket_tokens: int = BUCKET_TOKENS) -> tuple[DataFram
                      .mapInArrow(_chunks, _CHUNK), "lm-chunks")
     size = docs.agg(F.sum(F.octet_length("text")).alias("b"), F.count("*").alias("n"),
                     F.count(F.when(F.col("train"), 1)).alias("train")).first()
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")),
-                  int((size.b or 0) / 6 + size.n) // bucket_tokens + 1)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(tasks, int((size.b or 0) / 6 + size.n) // bucket_tokens + 1)
+    dealt = {"bucket": buckets, "chunk": (size.b or 0) // CHUNK_BYTES + 1}
     starts = size.train
 
-    counted = written(chunks.select("chunk", "words", "train", "vocabulary", "codes")
-                      .mapInArrow(_send_words(buckets),
-                                  "bucket long, chunk long, hashes binary, counts binary")
-                      .groupBy("bucket").applyInPandas(_count_words, _WORD_TABLE), "lm-words")
+    def by(df: DataFrame, key: str):
+        """Groups over as many tasks as there are buckets or chunks, if that is more than
+        the session's, so that a task's share does not grow with the corpus."""
+        return (df.repartition(dealt[key], key) if dealt[key] > tasks else df).groupBy(key)
+
+    counted = written(by(chunks.select("chunk", "words", "train", "vocabulary", "codes")
+                         .mapInArrow(_send_words(buckets),
+                                     "bucket long, chunk long, hashes binary, counts binary"),
+                         "bucket").applyInPandas(_count_words, _WORD_TABLE), "lm-words")
     unigrams = counted.where("chunk is null").select("bucket", "hashes", "counts", "n", "v", *_NS)
     by_bucket = {r.bucket: r for r in unigrams.select("bucket", "n", "v", *_NS).collect()}
     first, total = {}, 0  # a number for each bucket
@@ -420,31 +515,43 @@ def score(docs: DataFrame, bucket_tokens: int = BUCKET_TOKENS) -> tuple[DataFram
         raise ValueError("over 2^32 - 2 distinct words")
     words = Words(sum(r.n for r in by_bucket.values()), total,
                   [sum(r[k] for r in by_bucket.values()) for k in _NS])
-    numbers = written(counted.where("chunk is not null").select("bucket", "chunk", "at", "counts")
-                      .groupBy("chunk").applyInPandas(
-                          _word_numbers(first), "chunk long, numbers binary, counts binary"),
+    numbers = written(by(counted.where("chunk is not null").select("bucket", "chunk", "at", "counts"),
+                         "chunk").applyInPandas(
+                             _word_numbers(first), "chunk long, numbers binary, counts binary"),
                       "lm-numbers")
-
+    model = Model(words, unigrams)
     often = max(words.n // (2 * buckets), 1)
+
+    def replies(known: DataFrame, level: int) -> DataFrame:
+        """Count the grams of a level and answer each chunk: (chunk, bucket, counts, alphas)."""
+        counted = written(by(known.mapInArrow(_send_grams(level, buckets, often, starts), _SENT),
+                             "bucket").applyInPandas(_count_grams(level), _GRAM_TABLE),
+                          f"lm-grams-{level}")
+        table = counted.where("chunk is null")
+        sums = table.agg(*(F.sum(n).alias(n) for n in _NS)).first()
+        d = discounts([sums[n] or 0 for n in _NS])
+        # Split contexts: at most two for each bucket.
+        masses = table.mapInArrow(_split_masses(level, words, d, often),
+                                  "h long, n long, a double, b double") \
+            .groupBy("h").agg(F.max("n").alias("n"), F.sum("a").alias("a"), F.sum("b").alias("b")).collect()
+        split = (np.array([r.h for r in masses], dtype=np.int64).view(np.uint64),
+                 backoff(*(np.array([r[k] for r in masses], dtype=float) for k in "nab")))
+        model.d[level], model.grams[level] = d, table
+        tables = table.toDF(*table.columns)  # own column ids, as both come from one table
+        answers = counted.where("chunk is not null").select("bucket", "chunk", "contexts", "counts")
+        return by(answers, "bucket").cogroup(by(tables, "bucket")).applyInPandas(
+            _weights(level, words, d, spark.sparkContext.broadcast(split)),
+            "chunk long, bucket long, counts binary, alphas binary")
+
     known = chunks.select("chunk", "ids", "has_id", "train", "words", "codes").join(numbers, "chunk")
-    sent = known.select("chunk", "train", "words", "codes", "numbers", "counts").mapInArrow(
-        _send_pairs(buckets, often, starts),
-        "bucket long, chunk long, context binary, word binary, word_count binary, "
-        "context_count binary, counts binary")
-    paired = written(sent.groupBy("bucket").applyInPandas(_count_pairs, _PAIR_TABLE), "lm-pairs")
-    bigrams = paired.where("chunk is null")
-    sums = bigrams.agg(*(F.sum(n).alias(n) for n in _NS)).first()
-    d = discounts([sums[n] or 0 for n in _NS])
-
-    # Split contexts: at most two for each bucket.
-    masses = bigrams.mapInArrow(_split_masses(words, d, often), "h long, n long, a double, b double") \
-        .groupBy("h").agg(F.max("n").alias("n"), F.sum("a").alias("a"), F.sum("b").alias("b")).collect()
-    split = {r.h: float(backoff(np.array([r.n]), np.array([r.a]), np.array([r.b]))[0]) for r in masses}
-    tables = bigrams.toDF(*bigrams.columns)  # own column ids, as both come from one table
-    answers = paired.where("chunk is not null").select("bucket", "chunk", "keys", "counts")
-    replies = answers.groupBy("bucket").cogroup(tables.groupBy("bucket")).applyInPandas(
-        _weights(words, d, spark.sparkContext.broadcast(split)),
-        "chunk long, bucket long, counts binary, alphas binary")
-    scores = known.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInPandas(
-        _score(words, d, buckets, often, starts), _SCORE)
-    return scores, Model(words, d, unigrams, bigrams)
+    inner = ["chunk", "train", "words", "codes", "numbers", "counts"]
+    answers = replies(known.select(*inner), 2)
+    if order == 3:
+        known = written(by(known, "chunk").cogroup(by(answers, "chunk")).applyInPandas(
+            _pair_state(words, model.d[2], buckets, often, starts),
+            f"{_KNOWN}, pair_p binary, pair_counts binary"), "lm-pair-state")
+        remove(spark, chunks, numbers)
+        answers = replies(known.select(*inner, "pair_p", "pair_counts"), 3)
+    scores = by(known, "chunk").cogroup(by(answers, "chunk")).applyInPandas(
+        _score(order, words, model.d[order], buckets, often, starts), _SCORE)
+    return scores, model
