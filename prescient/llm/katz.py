@@ -12,11 +12,13 @@ and bucket, already summed inside the chunk:
 2. Pairs: chunks send their distinct (context, word) numbers with training
    counts to the bucket of the context. A context with more than its share of
    the corpus is split by word. A bucket stores the bigram table and answers
-   with the corpus counts of the pairs that were sent.
+   with the corpus counts of the pairs that were sent and, for each context, how
+   many of its words occur once, twice, ... and what mass its words have one level
+   down.
 3. Good-Turing discounts come from the numbers of words and pairs that occur
-   once, twice, ... over the whole corpus. Each bucket works out the backoff
-   weight of its contexts so that P(. | context) sums to exactly one; the parts
-   of split contexts are added up first.
+   once, twice, ... over the whole corpus. With them and the answers a chunk works
+   out the backoff weight of its contexts so that P(. | context) sums to exactly
+   one; the parts of split contexts, at most two for each bucket, are added up first.
 4. With ``order=3`` the same is done once more for triples: the context is the
    pair before the word, a training pair's two word numbers in one 64-bit number;
    what the weight is normalised by is the two-word probability, which the chunk
@@ -205,17 +207,16 @@ def _count_words(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _word_numbers(first: dict[int, int]):
-    """A chunk's answers, in the order of its vocabulary: word numbers and counts."""
-    def of(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("bucket")
+    """A chunk with its answers, in the order of its vocabulary: word numbers and counts."""
+    def of(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         numbers, counts = [], []
-        for k, at, c in zip(pdf["bucket"], pdf["at"], pdf["counts"], strict=True):
+        right = right.sort_values("bucket")
+        for k, at, c in zip(right["bucket"], right["at"], right["counts"], strict=True):
             at = _unpack(at, np.uint32)
             numbers.append(np.where(at > 0, at + np.uint32(first[k]), np.uint32(_UNSEEN)))
             counts.append(_unpack(c, np.int64))
-        return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1],
-                             "numbers": [_pack(np.concatenate(numbers).astype(np.uint32))],
-                             "counts": [_pack(np.concatenate(counts))]})
+        return left.assign(numbers=[_pack(np.concatenate(numbers).astype(np.uint32))],
+                           counts=[_pack(np.concatenate(counts))])
     return of
 
 
@@ -246,18 +247,24 @@ class Grams:
         self.parts = [(k, order[lo:hi]) for k, (lo, hi) in
                       enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if hi > lo]
 
-    def judged(self, replies: pd.DataFrame, d: np.ndarray, lower: np.ndarray):
-        """(training count, probability) of each gram from the buckets' replies and the
-        probabilities ``lower`` one level down."""
+    def judged(self, answers: pd.DataFrame, d: np.ndarray, split, lower: np.ndarray):
+        """(training count, probability) of each gram from the buckets' answers, the
+        weights of split contexts and the probabilities ``lower`` one level down."""
         count = np.zeros(self.word.size, dtype=np.int64)
         alpha = np.ones(self.word.size)
-        answers = {k: (c, x) for k, c, x in zip(replies["bucket"], replies["counts"],
-                                                replies["alphas"], strict=True)}
+        of = {k: x for k, *x in zip(*(answers[c] for c in ("bucket", "counts", "lowers", "singles")),
+                                    strict=True)}
         for k, at in self.parts:
-            c, x = answers[k]
+            c, b, singles = of[k]
             count[at] = _unpack(c, np.int64)
-            h = self.context[at]
-            alpha[at] = np.frombuffer(x)[np.searchsorted(np.unique(h), h)]
+            h, first, inverse = np.unique(self.context[at], return_index=True, return_inverse=True)
+            weight = backoff(self.context_count[at][first], _unpack(singles, np.uint32), d,
+                             _unpack(b, np.float64))
+            keys, weights = split
+            if keys.size:
+                place = np.minimum(np.searchsorted(keys, h), keys.size - 1)
+                weight = np.where(keys[place] == h, weights[place], weight)
+            alpha[at] = weight[inverse]
         n = np.maximum(self.context_count, 1)
         seen = d[np.minimum(count, GOOD_TURING + 1)] * count / n \
             * np.where(alpha < 0, n / (n + 1.0), 1.0)
@@ -333,12 +340,15 @@ def _send_grams(level: int, buckets: int, often: int, starts: int):
 
 
 _GRAM_TABLE = "bucket long, chunk long, contexts binary, words binary, counts binary, " \
-    "lowers binary, context_counts binary, " + ", ".join(f"{n} long" for n in _NS)
+    "lowers binary, singles binary, split binary, split_n binary, split_lowers binary, " \
+    "split_singles binary, " + ", ".join(f"{n} long" for n in _NS)
 
 
-def _count_grams(level: int):
+def _count_grams(level: int, words: Words, often: int):
     """The bucket's table row (chunk null) and an answer for each chunk: the corpus
-    counts of its grams and its contexts."""
+    counts of its grams and, by context, what the backoff weight is made of: the mass
+    of the seen words one level down (``lowers``) and the numbers of words that occur
+    1..GOOD_TURING times (``singles``)."""
     kind = _LEVELS[level][1]
 
     def of(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -349,79 +359,65 @@ def _count_grams(level: int):
         word = np.concatenate([_unpack(w, np.uint32) for w in pdf["word"]])
         every, first, at = np.unique((code << np.uint64(32)) | word,
                                      return_index=True, return_inverse=True)
+        del code
         sums = np.bincount(at, weights=np.concatenate([_unpack(x, np.uint32) for x in pdf["counts"]]),
                            minlength=every.size).astype(np.int64)
         lower = np.concatenate([_unpack(x, kind) for x in pdf["lower"]])[first]
-        context_count = np.concatenate([_unpack(x, np.int64) for x in pdf["context_count"]])[first]
+        lower = np.where(sums > 0, words.p(lower) if level == 2 else lower, 0.0)
+        context, word = context[first], word[first]
+        start = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
+        h, b = context[start], np.add.reduceat(lower, start)
+        n = np.concatenate([_unpack(x, np.int64) for x in pdf["context_count"]])[first[start]]
+        singles = np.stack([np.add.reduceat(sums == r, start, dtype=np.uint32)
+                            for r in range(1, GOOD_TURING + 1)])
+        s = n > often
         parts = np.split(at, np.cumsum([x.size for x in contexts])[:-1])
+        places = [np.searchsorted(h, np.unique(x)) for x in contexts]
         none = [None] * len(parts)
         # Contexts stay in the table even if all their grams are unseen: they back off too.
         head = {"bucket": pdf["bucket"].iloc[:1].tolist(), "chunk": [None],
-                "contexts": [_pack(np.diff(context[first], prepend=np.uint64(0)))],
-                "words": [_pack(word[first])], "counts": [_pack(sums)],
-                "lowers": [_pack(lower)], "context_counts": [_pack(context_count)]}
+                "contexts": [_pack(np.diff(context, prepend=np.uint64(0)))],
+                "words": [_pack(word)], "counts": [_pack(sums)], "lowers": [_pack(b)],
+                "singles": [_pack(singles.ravel())], "split": [h[s].tobytes()],
+                "split_n": [n[s].tobytes()], "split_lowers": [b[s].tobytes()],
+                "split_singles": [singles[:, s].tobytes()]}
         head |= {k: [x] for k, x in zip(_NS, _counts_of_counts(sums), strict=True)}
-        rest = {"bucket": pdf["bucket"].tolist(), "chunk": pdf["chunk"].tolist(),
-                "contexts": [_pack(np.diff(np.unique(h), prepend=np.uint64(0))) for h in contexts],
-                "words": none, "counts": [_pack(sums[p]) for p in parts], "lowers": none,
-                "context_counts": none}
-        rest |= {k: none for k in _NS}
+        rest = dict.fromkeys(head, none) | {
+            "bucket": pdf["bucket"].tolist(), "chunk": pdf["chunk"].tolist(),
+            "counts": [_pack(sums[p]) for p in parts], "lowers": [_pack(b[p]) for p in places],
+            "singles": [_pack(singles[:, p].ravel()) for p in places]}
         out = pd.DataFrame({k: [*head[k], *rest[k]] for k in head})
         return out.astype({k: "Int64" for k in ("chunk", *_NS)})
     return of
 
 
-def _masses(r, level: int, words: Words, d: np.ndarray):
-    """(contexts, their counts, discounted mass and lower mass of what was seen after them)."""
-    context = np.cumsum(_unpack(r["contexts"], np.uint64), dtype=np.uint64)
-    sums, context_count = (_unpack(r[k], np.int64) for k in ("counts", "context_counts"))
-    lower = _unpack(r["lowers"], _LEVELS[level][1])
-    first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
-    n = context_count[first]
-    kept = d[np.minimum(sums, GOOD_TURING + 1)] * sums
-    a = np.add.reduceat(kept, first) / np.maximum(n, 1)
-    b = np.add.reduceat(np.where(sums > 0, words.p(lower) if level == 2 else lower, 0.0), first)
-    return context[first], n, a, b
-
-
-def backoff(n: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Weight of the level below after a context seen ``n`` times, of which the grams
-    keep mass ``a`` and whose words have mass ``b`` there. Negative: no count was
-    discounted, so the grams are scaled by n / (n + 1) to leave some mass."""
-    none = a > 1 - 1e-9
-    left = np.where(none, 1.0 / (n + 1.0), 1.0 - a)
-    alpha = left / np.maximum(1.0 - b, 1e-12)
+def backoff(n: np.ndarray, singles: np.ndarray, d: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Weight of the level below after a context seen ``n`` times: what discounting
+    takes from the ``singles`` (1..GOOD_TURING times, each for all contexts) over the
+    mass ``b`` lower down leaves to unseen words. Negative: no count was discounted, so
+    the grams are scaled by n / (n + 1) to leave some mass."""
+    r = np.arange(1, GOOD_TURING + 1)
+    left = ((1 - d[r]) * r) @ singles.reshape(GOOD_TURING, -1) / np.maximum(n, 1)
+    none = left < 1e-9
+    alpha = np.where(none, 1.0 / (n + 1.0), left) / np.maximum(1.0 - b, 1e-12)
     return np.where(n > 0, np.where(none, -alpha, alpha), 1.0)
 
 
-def _split_masses(level, words, d, often):
-    def rows(batches):
-        for batch in batches:
-            for r in batch.to_pylist():
-                h, n, a, b = _masses(r, level, words, d)
-                s = n > often
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[s].view(np.int64)), pa.array(n[s]), pa.array(a[s]),
-                     pa.array(b[s])], names=["h", "n", "a", "b"])
-    return rows
-
-
-def _weights(level, words, d, split):
-    def of(answers: pd.DataFrame, tables: pd.DataFrame) -> pd.DataFrame:
-        if not len(answers):
-            return pd.DataFrame({"chunk": [], "bucket": [], "counts": [], "alphas": []})
-        h, n, a, b = _masses(tables.iloc[0], level, words, d)
-        alpha = backoff(n, a, b)
-        keys, values = split.value
-        if keys.size and h.size:
-            at = np.minimum(np.searchsorted(h, keys), h.size - 1)
-            here = h[at] == keys
-            alpha[at[here]] = values[here]
-        found = [alpha[np.searchsorted(h, np.cumsum(_unpack(x, np.uint64), dtype=np.uint64))]
-                 for x in answers["contexts"]]
-        return pd.DataFrame({"chunk": answers["chunk"], "bucket": answers["bucket"],
-                             "counts": answers["counts"], "alphas": [x.tobytes() for x in found]})
-    return of
+def _split_weights(rows, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(contexts ascending, their weights) of those that are split by word, from the
+    buckets' parts."""
+    if not rows:
+        return np.zeros(0, dtype=np.uint64), np.zeros(0)
+    h, place = np.unique(np.concatenate([np.frombuffer(r.split, np.uint64) for r in rows]),
+                         return_inverse=True)
+    n = np.zeros(h.size)
+    n[place] = np.concatenate([np.frombuffer(r.split_n, np.int64) for r in rows])
+    b = np.bincount(place, minlength=h.size, weights=np.concatenate(
+        [np.frombuffer(r.split_lowers) for r in rows]))
+    parts = np.concatenate([np.frombuffer(r.split_singles, np.uint32).reshape(GOOD_TURING, -1)
+                            for r in rows], axis=1)
+    singles = np.stack([np.bincount(place, weights=x, minlength=h.size) for x in parts])
+    return h, backoff(n, singles, d, b)
 
 
 # ------------------------------------------------------------------- scores
@@ -431,26 +427,26 @@ _KNOWN = "chunk long, ids binary, has_id binary, train binary, words binary, cod
 _SCORE = "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def _pair_state(words: Words, d, buckets, often, starts):
+def _pair_state(words: Words, d, split, buckets, often, starts):
     """The chunk with the counts and probabilities of its pairs."""
     def of(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left):
             return pd.DataFrame({c: [] for c in (*left.columns, "pair_p", "pair_counts")})
         p = Pairs(left.iloc[0], starts)
         p.deal(buckets, often)
-        count, prob = p.judged(right, d, words.p(p.lower))
+        count, prob = p.judged(right, d, split.value, words.p(p.lower))
         return left.assign(pair_p=[_pack(prob)], pair_counts=[_pack(count)])
     return of
 
 
-def _score(level: int, words: Words, d, buckets, often, starts):
+def _score(level: int, words: Words, d, split, buckets, often, starts):
     def of(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left):
             return pd.DataFrame({c.split()[0]: [] for c in _SCORE.split(", ")})
         r = left.iloc[0]
         p = _LEVELS[level][0](r, starts)
         p.deal(buckets, often)
-        _, prob = p.judged(right, d, words.p(p.lower) if level == 2 else p.lower)
+        _, prob = p.judged(right, d, split.value, words.p(p.lower) if level == 2 else p.lower)
         if level == 2:
             logs = np.log10(prob)[p.inverse]
         else:
@@ -515,43 +511,40 @@ def score(docs: DataFrame, bucket_tokens: int = BUCKET_TOKENS, order: int = 2) -
         raise ValueError("over 2^32 - 2 distinct words")
     words = Words(sum(r.n for r in by_bucket.values()), total,
                   [sum(r[k] for r in by_bucket.values()) for k in _NS])
-    numbers = written(by(counted.where("chunk is not null").select("bucket", "chunk", "at", "counts"),
-                         "chunk").applyInPandas(
-                             _word_numbers(first), "chunk long, numbers binary, counts binary"),
-                      "lm-numbers")
+    known = written(by(chunks.select("chunk", "ids", "has_id", "train", "words", "codes"), "chunk")
+                    .cogroup(by(counted.where("chunk is not null")
+                                .select("chunk", "bucket", "at", "counts"), "chunk"))
+                    .applyInPandas(_word_numbers(first), _KNOWN), "lm-known")
+    remove(spark, chunks)
     model = Model(words, unigrams)
     often = max(words.n // (2 * buckets), 1)
 
-    def replies(known: DataFrame, level: int) -> DataFrame:
-        """Count the grams of a level and answer each chunk: (chunk, bucket, counts, alphas)."""
-        counted = written(by(known.mapInArrow(_send_grams(level, buckets, often, starts), _SENT),
-                             "bucket").applyInPandas(_count_grams(level), _GRAM_TABLE),
+    def learn(known: DataFrame, level: int):
+        """Count the grams of a level: the answers to each chunk, the discounts and the
+        weights of split contexts."""
+        inner = [c for c in known.columns if c not in ("ids", "has_id")]
+        counted = written(by(known.select(*inner)
+                             .mapInArrow(_send_grams(level, buckets, often, starts), _SENT),
+                             "bucket").applyInPandas(_count_grams(level, words, often), _GRAM_TABLE),
                           f"lm-grams-{level}")
         table = counted.where("chunk is null")
         sums = table.agg(*(F.sum(n).alias(n) for n in _NS)).first()
         d = discounts([sums[n] or 0 for n in _NS])
-        # Split contexts: at most two for each bucket.
-        masses = table.mapInArrow(_split_masses(level, words, d, often),
-                                  "h long, n long, a double, b double") \
-            .groupBy("h").agg(F.max("n").alias("n"), F.sum("a").alias("a"), F.sum("b").alias("b")).collect()
-        split = (np.array([r.h for r in masses], dtype=np.int64).view(np.uint64),
-                 backoff(*(np.array([r[k] for r in masses], dtype=float) for k in "nab")))
+        split = _split_weights(table.where(F.length("split") > 0).select(
+            "split", "split_n", "split_lowers", "split_singles").collect(), d)
         model.d[level], model.grams[level] = d, table
-        tables = table.toDF(*table.columns)  # own column ids, as both come from one table
-        answers = counted.where("chunk is not null").select("bucket", "chunk", "contexts", "counts")
-        return by(answers, "bucket").cogroup(by(tables, "bucket")).applyInPandas(
-            _weights(level, words, d, spark.sparkContext.broadcast(split)),
-            "chunk long, bucket long, counts binary, alphas binary")
-
-    known = chunks.select("chunk", "ids", "has_id", "train", "words", "codes").join(numbers, "chunk")
-    inner = ["chunk", "train", "words", "codes", "numbers", "counts"]
-    answers = replies(known.select(*inner), 2)
+        answers = counted.where("chunk is not null").select(
+            "chunk", "bucket", "counts", "lowers", "singles")
+        return answers, d, spark.sparkContext.broadcast(split)
+
+    answers, *weights = learn(known, 2)
     if order == 3:
-        known = written(by(known, "chunk").cogroup(by(answers, "chunk")).applyInPandas(
-            _pair_state(words, model.d[2], buckets, often, starts),
+        pairs = written(by(known, "chunk").cogroup(by(answers, "chunk")).applyInPandas(
+            _pair_state(words, *weights, buckets, often, starts),
             f"{_KNOWN}, pair_p binary, pair_counts binary"), "lm-pair-state")
-        remove(spark, chunks, numbers)
-        answers = replies(known.select(*inner, "pair_p", "pair_counts"), 3)
+        remove(spark, known)
+        known = pairs
+        answers, *weights = learn(known, 3)
     scores = by(known, "chunk").cogroup(by(answers, "chunk")).applyInPandas(
-        _score(order, words, model.d[order], buckets, often, starts), _SCORE)
+        _score(order, words, *weights, buckets, often, starts), _SCORE)
     return scores, model
