@@ -20,6 +20,8 @@ from __future__ import annotations
 
 from fractions import Fraction
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,6 +90,28 @@ def of_split(df: DataFrame, n_splits: int = 5, train: bool | None = False,
     return out.where(is_train_row if train else ~is_train_row)
 
 
+def sorted_chunks(df: DataFrame, col: str, rows: int = 1 << 18) -> DataFrame:
+    """``df`` with each ``rows`` consecutive rows of a partition in the order of ``col``
+    (nulls first), so that a task holds no more than those; a sort of the whole
+    partition holds all of it."""
+    def fn(batches):
+        held, n = [], 0
+
+        def ordered():
+            t = pa.Table.from_batches(held)
+            at = pc.sort_indices(t, sort_keys=[(col, "ascending")], null_placement="at_start")
+            yield from t.take(at).combine_chunks().to_batches(max_chunksize=10_000)
+        for b in batches:
+            held.append(b)
+            n += b.num_rows
+            if n >= rows:
+                yield from ordered()
+                held, n = [], 0
+        if n:
+            yield from ordered()
+    return df.mapInArrow(fn, df.schema)
+
+
 def by_match(df: DataFrame, salt, match_col: str = "replay_id",
              train_buckets: int = TRAIN_BUCKETS) -> DataFrame:
     """Match-level variant: all snapshots of a match land on the same side."""

@@ -44,12 +44,12 @@ def split_table(spark: SparkSession, sf_dir: str, n_splits: int = N_SPLITS) -> D
     (``train_bits``) and of an odd md5 value (``odd_bits``).
 
     Row groups of 16 MB let a scan of a small table spread over tasks; the order by
-    frame lets a cutoff filter skip row groups.
+    frame, in chunks that bound what a task holds, lets a cutoff filter skip pages.
     """
     rows = snapshots(spark, sf_dir)
     return sinks.materialize_once(
         spark, scratch_path(spark, "splits-" + hashlib.md5(sf_dir.encode()).hexdigest()[:12]),
-        lambda: split.split_bits(rows, n_splits, odd_col="odd_bits").sortWithinPartitions("frame"),
+        lambda: split.sorted_chunks(split.split_bits(rows, n_splits, odd_col="odd_bits"), "frame"),
         key=f"md5-70-30|{n_splits}", inputs=[rows], options={"parquet.block.size": str(16 << 20)})
 
 
